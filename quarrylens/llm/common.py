@@ -82,3 +82,28 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
         label = nxt.select("node", "root")
         if not moved:
             return label
+
+
+def worker_cache(key: str, make):
+    """``make()``, kept for the life of this Python process (workers serve many tasks)."""
+    import sys
+    import types
+
+    store = sys.modules.setdefault("_quarrylens_worker_cache", types.ModuleType("_quarrylens_worker_cache"))
+    if not hasattr(store, "items"):
+        store.items = {}
+    if key not in store.items:
+        store.items[key] = make()
+    return store.items[key]
+
+
+def file_system(uri: str):
+    """(pyarrow file system, path) of a shared folder or file; a plain path is local."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if ":/" in uri else (fs.LocalFileSystem(), uri)
+
+
+def attempt_name(path: str) -> str:
+    """A name for what a task attempt writes before it is moved to ``path`` as a whole."""
+    return f"{path}.{uuid.uuid4().hex}.tmp"

@@ -19,6 +19,48 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 shards of near-equal bytes."""
+    return sharded(table(spark, sf_dir, "documents"))
+
+
+def sharded(docs: DataFrame) -> DataFrame:
+    """The shard digest of each document: law ``bytes``; grown_shard is for the law ``key`` only."""
+    from .sharding import shard_by_bytes
+
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return shard_by_bytes(rows.withColumn("text_crc32", F.crc32("text"))).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedding near-duplicates at cosine 0.93 or more within a label."""
+    from .imi import cosine_links
+
+    return cosine_links(table(spark, sf_dir, "embeddings"))
+
+
+def op9_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files in Arrow fixed-size lists, and what they say about each document."""
+    import public_tokenizers
+
+    from .tokens import token_round_trip
+
+    return token_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources mixed to the square root of their shares by Poisson replication."""
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "n_copies", "replica", "shuffle_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_histogram_sort": op4_histogram_sort,
     "op5_simhash": op5_simhash,
+    "op8_multi_index": op8_multi_index,
+    "op9_arrow_tokens": op9_arrow_tokens,
+    "op10_poisson_mix": op10_poisson_mix,
 }
