@@ -13,10 +13,12 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -24,50 +26,85 @@ from pyspark.sql import functions as F
 
 from .common import attempt_name, cut, file_system, text_of, work_dir, worker_cache
 
-#: Pieces of text without white space whose ids a worker remembers; a full cache starts anew.
-CACHE_PIECES = 300_000
+#: Words whose ids a worker remembers; a full cache starts anew.
+CACHE_WORDS = 1_000_000
+#: Fixed value: the vocabulary's own way to cut a piece into words.
+WORDS = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
+#: Pieces with these are encoded as they are: characters that normalising may change, and special tokens.
+OTHER = r"[^\x21-\x{24f}]|[\x{85}\x{a0}\x{130}]|<\|"
+
+
+def gather(pool: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``pool[first : first + count]`` of all entries one after another, and where each ends in the result."""
+    stop = np.cumsum(count)
+    if not len(stop):
+        return pool[:0], stop
+    return pool[np.repeat(first - (stop - count), count) + np.arange(stop[-1])], stop
 
 
 class Encoder:
-    """Ids of whole texts. White space never lies inside a token here, so pieces between it are encoded
-    one by one and remembered; the result is that of encoding the whole text at once."""
+    """Ids of whole texts for a vocabulary that drops white space and lower-cases.
+
+    No token spans white space, so the distinct pieces between it are cut into words as the vocabulary does,
+    and only distinct unknown words are encoded; a piece of other than plain characters is encoded as it
+    is. The result is that of encoding the whole text at once. Work is per distinct word in Python, per
+    piece and id in Arrow and numpy.
+    """
 
-    def __init__(self, path: str, dtype: str):
+    def __init__(self, path: str, wide: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = dtype
-        self.seen: dict[bytes, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        pieces = text.encode().split()
-        seen = self.seen
-        try:
-            return b"".join([seen[p] for p in pieces])
-        except KeyError:
-            pass
-        new = [p for p in dict.fromkeys(pieces) if p not in seen]
-        if len(seen) + len(new) > CACHE_PIECES:
-            seen.clear()
-            new = list(dict.fromkeys(pieces))
+        self.code = "I" if wide else "H"
+        self.words: dict[str, bytes] = {}
+
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        known = self.words
+        new = [w for w in words if w not in known]
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch([p.decode() for p in some], add_special_tokens=False), strict=True):
-                seen[p] = np.array(e.ids, dtype=self.dtype).tobytes()
-        return b"".join([seen[p] for p in pieces])
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[w] = array(self.code, e.ids).tobytes()
+        out = [known[w] for w in words]
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        return out
+
+    def encode(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each closed by the end id, and where each text ends among them."""
+        lists = pc.ascii_split_whitespace(texts)
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        pieces = coded.dictionary
+        plain = pc.invert(pc.match_substring_regex(pieces, OTHER))
+        cut = pc.utf8_rtrim_whitespace(pc.replace_substring_regex(pc.utf8_lower(pieces), WORDS, r"\1 "))
+        cut = pc.ascii_split_whitespace(pc.if_else(plain, cut, pieces))
+        words = cut.flatten().dictionary_encode()
+        ids = self.word_ids(words.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // array(self.code).itemsize
+        pool = np.frombuffer(b"".join(ids), self.code)
+        # ids of each distinct piece, and of the end, then of each text
+        word = words.indices.to_numpy()
+        pool, stop = gather(pool, (np.cumsum(size) - size)[word], size[word])
+        at = np.r_[0, stop, 0][(cut.offsets.to_numpy() - cut.offsets[0].as_py())] if len(word) else np.zeros(len(pieces) + 1, np.int64)
+        first, count = np.append(at[:-1], len(pool)), np.append(np.diff(at), 1)
+        pool = np.append(pool, np.array([end_id], self.code))
+        which = np.insert(coded.indices.to_numpy(), bounds[1:], len(pieces))
+        out, stop = gather(pool, first[which], count[which])
+        return out, stop[bounds[1:] + np.arange(len(texts))]
 
 
 class Packer:
-    """Collects ids into sequences of equal length and writes full batches; holds at most one batch and one document."""
+    """Collects ids into sequences of equal length and writes full batches; holds at most one batch and what was added last."""
 
-    def __init__(self, writer: ipc.RecordBatchFileWriter, schema: pa.Schema, length: int, rows: int, dtype: str):
-        self.writer, self.schema, self.length, self.room, self.dtype = writer, schema, length, length * rows, dtype
+    def __init__(self, writer: ipc.RecordBatchFileWriter, schema: pa.Schema, length: int, rows: int):
+        self.writer, self.schema, self.length, self.room = writer, schema, length, length * rows
         self.ids, self.marks, self.have, self.total = [], [], 0, 0
 
-    def add(self, ids: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, ends: np.ndarray) -> None:
         marks = np.ones(len(ids), np.uint8)  # 0 padding, 1 token, 2 last token of its document
-        marks[-1] = 2
+        marks[ends - 1] = 2
         self.ids.append(ids)
         self.marks.append(marks)
         self.have += len(ids)
@@ -102,20 +139,18 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_
     when whole; a task that runs again replaces its file with an equal one. ``wide`` uses 32-bit ids,
     for vocabularies of over 65,536.
     """
-    dtype = "<u4" if wide else "<u2"
     schema = pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), length)), ("mask", pa.list_(pa.bool_(), length)), ("last", pa.list_(pa.bool_(), length))], metadata={"end_id": str(end_id), "tokenizer": os.path.basename(tokenizer)})
     src = df.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text}`").alias("text")).withColumn("th", F.xxhash64("text"))
     ordered = src.repartitionByRange("id", "th").sortWithinPartitions("id", "th").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        coder = worker_cache(f"tokens:{tokenizer}:{dtype}", lambda: Encoder(tokenizer, dtype))
+        coder = worker_cache(f"tokens:{tokenizer}:{wide}", lambda: Encoder(tokenizer, wide))
         fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
         file = f"{root}/part-{part:05d}.arrow"
         index = f"{root}/part-{part:05d}.docs.arrow"
         tmp, tmp_index = attempt_name(file), attempt_name(index)
-        end = np.array([end_id], dtype).tobytes()
         docs = 0
         sink = index_sink = None
         for b in batches:
@@ -123,14 +158,15 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_
                 continue
             if sink is None:
                 sink, index_sink = fs.open_output_stream(tmp), fs.open_output_stream(tmp_index)
-                packer = Packer(ipc.new_file(sink, schema), schema, length, rows_per_batch, dtype)
+                packer = Packer(ipc.new_file(sink, schema), schema, length, rows_per_batch)
                 index_schema = pa.schema([("doc_id", b.schema.field(0).type), ("start", pa.int64())])
                 index_writer = ipc.new_file(index_sink, index_schema)
-            starts = []
-            for t in b.column(1):
-                starts.append(packer.total)
-                packer.add(np.frombuffer(coder.encode(t.as_py()) + end, dtype))
-            index_writer.write_batch(pa.RecordBatch.from_arrays([b.column(0), pa.array(starts, pa.int64())], schema=index_schema))
+            for some in _slices(b):
+                before = packer.total
+                ids, ends = coder.encode(some.column(1), end_id)
+                starts = np.r_[0, ends[:-1]] + before
+                packer.add(ids, ends)
+                index_writer.write_batch(pa.RecordBatch.from_arrays([some.column(0), pa.array(starts, pa.int64())], schema=index_schema))
             docs += b.num_rows
         if sink is None:
             return
@@ -149,6 +185,16 @@ def write_tokens(df: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_
     return spark.createDataFrame(rows, "part int, file string, docs bigint, n_tokens bigint, base bigint")
 
 
+def _slices(batch: pa.RecordBatch, most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` bytes of text, at least one row each, so that work space is bounded."""
+    size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most)))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 class TokenFile:
     """Random access to one file's sequences and documents, memory-mapped where the file is local."""
 
