@@ -19,6 +19,41 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item, as (doc_id, item_id) pairs."""
+    from .decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_assignment_lexer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    from .secrets import digest, find_secrets
+
+    return digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op3_checked_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    from .pii import digest, find_personal_data
+
+    return digest(find_personal_data(table(spark, sf_dir, "documents")))
+
+
+def op6_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_loser_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record per page, read back through the merged capture index."""
+    from .warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """40 shards of near-equal bytes."""
     return sharded(table(spark, sf_dir, "documents"))
@@ -58,8 +93,13 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_template_windows": op1_template_windows,
+    "op2_assignment_lexer": op2_assignment_lexer,
+    "op3_checked_patterns": op3_checked_patterns,
     "op4_histogram_sort": op4_histogram_sort,
     "op5_simhash": op5_simhash,
+    "op6_counterfactual": op6_counterfactual,
+    "op7_loser_tree": op7_loser_tree,
     "op8_multi_index": op8_multi_index,
     "op9_arrow_tokens": op9_arrow_tokens,
     "op10_poisson_mix": op10_poisson_mix,
