@@ -29,6 +29,8 @@ FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Bits of the counters are summed over so many hashes at a time, which bounds memory for any text.
 HASH_BLOCK = 65536
 SEED = 42
+#: Keys of dropped rows that are broadcast at most; with more, texts are exchanged.
+BROADCAST_KEYS = 500_000
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -318,9 +320,14 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "tex
     Where rows share that id, the one whose text has the least hash stays, and one of repeated rows.
     A row with a null id stays only if its component has no other id.
     """
-    _, classes = _classes(df, id_col, text, width, budget, leaf_rows)
-    keep = classes.select("root", F.col("keep.id").alias("__id"), F.col("keep.th").alias("__th")).distinct().select("__id", "__th")
+    ids, classes = _classes(df, id_col, text, width, budget, leaf_rows)
+    # what goes is less than what stays, and is known by slim keys; only those meet the texts
+    stays = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("th") == F.col("keep.th"))
+    gone = cut(ids.join(classes, "fp").where(~stays).select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct())
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
     th = scratch(df, "__text_hash")
-    rows = df.withColumn(th, F.xxhash64(text_of(text)))
-    kept = rows.join(keep, rows[id_col].eqNullSafe(keep["__id"]) & (rows[th] == keep["__th"]), "left_semi")
-    return kept.dropDuplicates([id_col, th]).drop(th)
+    rows = df.withColumn(th, F.xxhash64(text_of(f"`{text}`")))
+    kept = rows.join(side, rows[id_col].eqNullSafe(side["__id"]) & (rows[th] == side["__th"]), "left_anti")
+    if ids.groupBy("id", "th").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([id_col, th])
+    return kept.drop(th)

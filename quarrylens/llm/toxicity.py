@@ -45,9 +45,13 @@ def words(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
+#: Lengths of the beginnings of words that are features.
+PREFIXES = (4, 5, 6)
+
+
 def features(word: str) -> list[str]:
-    """The word itself, and its beginnings of 4 to 6 characters."""
-    return [f"={word}", *(f"^{word[:n]}" for n in (4, 5, 6) if len(word) > n)]
+    """The word itself, and its beginnings of PREFIXES characters."""
+    return [f"={word}", *(f"^{word[:n]}" for n in PREFIXES if len(word) > n)]
 
 
 class Model(NamedTuple):
@@ -77,7 +81,7 @@ def swaps(own: set[str], term: str, most: int = 4) -> list[set[str]]:
     return [(own - {term}) | {t} for t in [*(kin[at:] + kin[:at])[:most], NEUTRAL]]
 
 
-def fit(texts: list[set[str]], labels: list[int], most_features: int = 3000, l2: float = 2e-3, counterfactual: float = 1.0, rounds: int = 400) -> Model:
+def fit(texts: list[set[str]], labels: list[int], most_features: int = 3000, least_z: float = 2.6, l2: float = 2e-4, counterfactual: float = 1.0, rounds: int = 600) -> Model:
     """Fits on texts given as their sets of words. With one label only, a constant score."""
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
@@ -103,7 +107,7 @@ def fit(texts: list[set[str]], labels: list[int], most_features: int = 3000, l2:
     names = np.array(list(index), object)
     # ties by name, so that the choice does not depend on the order of rows
     order = sorted(range(len(names)), key=lambda i: (-abs(z[i]), names[i]))[:most_features]
-    order = [i for i in order if abs(z[i]) > 1.5]
+    order = [i for i in order if abs(z[i]) > least_z]
     column = np.full(len(index), -1)
     column[order] = np.arange(len(order))
 
@@ -116,14 +120,17 @@ def fit(texts: list[set[str]], labels: list[int], most_features: int = 3000, l2:
 
     x = dense(rows)
     change = x[[i for i, _ in pairs]] - dense([c for _, c in pairs]) if pairs else None
-    w, b = np.zeros(len(order), np.float32), float(np.log(total[1] / total[0]))
+    # rarer labels weigh more, so that 0.5 means as likely as not in a balanced set
+    weight = (len(y) / (2 * np.where(y > 0.5, total[1], total[0]))).astype(np.float32)
+    w, b = np.zeros(len(order), np.float32), 0.0
     m1 = m2 = np.zeros(len(order) + 1)
     for t in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-(x @ w + b)))
-        g = x.T @ (p - y).astype(np.float32) / len(y) + l2 * w
+        off = (weight * (p - y)).astype(np.float32)
+        g = x.T @ off / len(y) + l2 * w
         if change is not None:
             g = g + 2 * counterfactual * change.T @ (change @ w) / len(change)
-        step = np.append(g, (p - y).mean())
+        step = np.append(g, off.mean())
         m1, m2 = 0.9 * m1 + 0.1 * step, 0.999 * m2 + 0.001 * step**2
         move = 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
         w, b = (w - move[:-1]).astype(np.float32), b - move[-1]
