@@ -30,12 +30,14 @@ def poisson_count(u: Column, mean: Column) -> Column:
     """
     mean = F.greatest(F.coalesce(mean, F.lit(0.0)), F.lit(0.0))
     most = F.floor(mean + F.sqrt(mean) * 12 + 40).cast("int")
-    start = F.struct(F.lit(0).alias("n"), (-mean).alias("log_p"), F.exp(-mean).alias("cdf"))
-    step = lambda s, k: F.when(
-        s["cdf"] > u, s
-    ).otherwise(
-        F.struct((s["n"] + 1).alias("n"), (s["log_p"] + F.log(mean) - F.log(k.cast("double"))).alias("log_p"), (s["cdf"] + F.exp(s["log_p"] + F.log(mean) - F.log(k.cast("double")))).alias("cdf"))
-    )
+    # u and the logarithm travel in the accumulator: a column inside a lambda is evaluated anew at each step
+    start = F.struct(u.alias("u"), F.log(mean).alias("log_mean"), F.lit(0).alias("n"), (-mean).alias("log_p"), F.exp(-mean).alias("cdf"))
+
+    def step(s: Column, k: Column) -> Column:
+        log_p = s["log_p"] + s["log_mean"] - F.log(k.cast("double"))
+        more = F.struct(s["u"].alias("u"), s["log_mean"].alias("log_mean"), (s["n"] + 1).alias("n"), log_p.alias("log_p"), (s["cdf"] + F.exp(log_p)).alias("cdf"))
+        return F.when(s["cdf"] > s["u"], s).otherwise(more)
+
     return F.when(mean <= 0, F.lit(0)).otherwise(F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["n"]))
 
 
@@ -82,5 +84,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", source: str = "source", text: str
     )
     copies = counted.withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     copies = copies.withColumn("shuffle_key", uniform(seed + 1, ident, F.col(digest), F.col("replica")))
-    ordered = copies.repartitionByRange("shuffle_key", digest).sortWithinPartitions("shuffle_key", digest)
+    # keys are uniform, so equal ranges of them are equal parts: no sampling pass
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = scratch(copies, "__place")
+    dealt = copies.withColumn(place, F.floor(F.col("shuffle_key") * parts).cast("int")).repartitionById(parts, F.col(place))
+    ordered = dealt.sortWithinPartitions("shuffle_key", digest)
     return ordered.select(*[f"`{c}`" for c in rows.columns], "n_copies", "replica", "shuffle_key")
