@@ -10,12 +10,12 @@ and neutral mentions of a group score as any other neutral sentence does.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,19 +49,20 @@ def words(text: str | None) -> set[str]:
 PREFIXES = (4, 5, 6)
 
 
-def features(word: str) -> list[str]:
-    """The word itself, and its beginnings of PREFIXES characters."""
-    return [f"={word}", *(f"^{word[:n]}" for n in PREFIXES if len(word) > n)]
+def features(word: str) -> tuple[int, ...]:
+    """Hashes of the word itself and of its beginnings of PREFIXES characters, as signed 64-bit integers."""
+    names = (f"={word}", *(f"^{word[:n]}" for n in PREFIXES if len(word) > n))
+    return tuple(h - (1 << 64) if (h := xxhash.xxh64_intdigest(x)) >> 63 else h for x in names)
 
 
 class Model(NamedTuple):
-    weights: dict[str, float]
+    weights: dict[int, float]
     bias: float
 
     def score(self, text: str | None, memo: dict[str, tuple] | None = None) -> float:
         """Probability of the toxic label, of the whole text."""
         memo = {} if memo is None else memo
-        seen: set[str] = set()
+        seen: set[int] = set()
         for w in words(text):
             f = memo.get(w)
             if f is None:
@@ -74,52 +75,62 @@ class Model(NamedTuple):
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def swaps(own: set[str], term: str, most: int = 4) -> list[set[str]]:
-    """Copies of a text's words with ``term`` swapped for others of its kind, and for a neutral word."""
+def swaps(term: str, most: int = 4) -> list[str]:
+    """What an identity term is swapped for: others of its kind, and a neutral word."""
     kin = [t for t in IDENTITY[KIND_OF[term]] if t != term]
     at = sum(map(ord, term)) % max(1, len(kin))
-    return [(own - {term}) | {t} for t in [*(kin[at:] + kin[:at])[:most], NEUTRAL]]
+    return [*(kin[at:] + kin[:at])[:most], NEUTRAL]
 
 
-def fit(texts: list[set[str]], labels: list[int], most_features: int = 3000, least_z: float = 2.6, l2: float = 2e-4, counterfactual: float = 1.0, rounds: int = 600) -> Model:
-    """Fits on texts given as their sets of words. With one label only, a constant score."""
+class Example(NamedTuple):
+    """A labelled text: its distinct features, and for each swap the features that go and those that come."""
+
+    features: np.ndarray
+    changes: list[tuple[np.ndarray, np.ndarray]]
+
+
+def example(ws: set[str]) -> Example:
+    own = {x for w in ws for x in features(w)}
+    changes = []
+    for term in sorted(ws & KIND_OF.keys()):
+        rest = {x for w in ws - {term} for x in features(w)}
+        gone = own - rest
+        for other in swaps(term):
+            now = set(features(other))
+            changes.append((np.array(sorted(gone - now), np.int64), np.array(sorted(now - own), np.int64)))
+    return Example(np.array(sorted(own), np.int64), changes)
+
+
+def fit(examples: list[Example], labels: list[int], most_features: int = 3000, least_z: float = 2.6, l2: float = 2e-4, counterfactual: float = 1.0, rounds: int = 600) -> Model:
+    """Fits the weights. With one label only, a constant score."""
     y = np.array(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return Model({}, 0.0 if not len(y) else (-4.0 if y[0] < 0.5 else 4.0))
-    index: dict[str, int] = {}
-    memo: dict[str, list[int]] = {}
-
-    def ids(ws: set[str]) -> np.ndarray:
-        out: set[int] = set()
-        for w in ws:
-            f = memo.get(w)
-            if f is None:
-                f = memo[w] = [index.setdefault(x, len(index)) for x in features(w)]
-            out.update(f)
-        return np.fromiter(out, np.int32, len(out))
-
-    rows = [ids(t) for t in texts]
-    pairs = [(i, ids(c)) for i, t in enumerate(texts) for term in sorted(t & KIND_OF.keys()) for c in swaps(t, term)]
-    n = [np.bincount(np.concatenate([r for r, v in zip(rows, y, strict=True) if v == c]), minlength=len(index)).astype(float) for c in (0, 1)]
-    total = [(y == c).sum() for c in (0, 1)]
+    size = np.array([len(e.features) for e in examples])
+    known, at = np.unique(np.concatenate([e.features for e in examples]), return_inverse=True)
+    toxic = np.repeat(y > 0.5, size)
+    n = [np.bincount(at[toxic == c], minlength=len(known)).astype(float) for c in (False, True)]
+    total = [(y <= 0.5).sum(), (y > 0.5).sum()]
     z = (np.log((n[1] + 0.5) / (total[1] - n[1] + 0.5)) - np.log((n[0] + 0.5) / (total[0] - n[0] + 0.5))) / np.sqrt(1 / (n[1] + 0.5) + 1 / (n[0] + 0.5))
-    z[n[0] + n[1] < 2] = 0
-    names = np.array(list(index), object)
-    # ties by name, so that the choice does not depend on the order of rows
-    order = sorted(range(len(names)), key=lambda i: (-abs(z[i]), names[i]))[:most_features]
-    order = [i for i in order if abs(z[i]) > least_z]
-    column = np.full(len(index), -1)
+    z[(n[0] + n[1] < 2) | (np.abs(z) <= least_z)] = 0
+    order = np.argsort(-np.abs(z), kind="stable")[:most_features]  # ties by hash
+    order = order[z[order] != 0]
+    column = np.full(len(known), -1)
     column[order] = np.arange(len(order))
 
-    def dense(found: list[np.ndarray]) -> np.ndarray:
-        m = np.zeros((len(found), len(order)), np.float32)
-        for i, r in enumerate(found):
-            c = column[r]
-            m[i, c[c >= 0]] = 1
-        return m
-
-    x = dense(rows)
-    change = x[[i for i, _ in pairs]] - dense([c for _, c in pairs]) if pairs else None
+    def place(hashes: np.ndarray) -> np.ndarray:
+        i = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        c = column[i[known[i] == hashes]]
+        return c[c >= 0]
+
+    x = np.zeros((len(y), len(order)), np.float32)
+    col = column[at]
+    x[np.repeat(np.arange(len(y)), size)[col >= 0], col[col >= 0]] = 1
+    pairs = [c for e in examples for c in e.changes]
+    change = np.zeros((len(pairs), len(order)), np.float32)
+    for i, (gone, come) in enumerate(pairs):
+        change[i, place(gone)] = 1
+        change[i, place(come)] = -1
     # rarer labels weigh more, so that 0.5 means as likely as not in a balanced set
     weight = (len(y) / (2 * np.where(y > 0.5, total[1], total[0]))).astype(np.float32)
     w, b = np.zeros(len(order), np.float32), 0.0
@@ -128,46 +139,51 @@ def fit(texts: list[set[str]], labels: list[int], most_features: int = 3000, lea
         p = 1 / (1 + np.exp(-(x @ w + b)))
         off = (weight * (p - y)).astype(np.float32)
         g = x.T @ off / len(y) + l2 * w
-        if change is not None:
-            g = g + 2 * counterfactual * change.T @ (change @ w) / len(change)
+        if len(pairs):
+            g = g + 2 * counterfactual * change.T @ (change @ w) / len(pairs)
         step = np.append(g, off.mean())
         m1, m2 = 0.9 * m1 + 0.1 * step, 0.999 * m2 + 0.001 * step**2
         move = 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
         w, b = (w - move[:-1]).astype(np.float32), b - move[-1]
-    return Model({names[i]: float(v) for i, v in zip(order, w, strict=True)}, float(b))
+    return Model({int(k): float(v) for k, v in zip(known[order], w, strict=True)}, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample_per_class: int = 4000, **how) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample_per_class: int = 3000, **how) -> Model:
     """Fits on labelled rows outside the held-out third, at most ``sample_per_class`` of each label, by hash of the id.
 
-    A document with several labels has their rounded mean; null labels and ids do not count. Of training
-    texts that share the eight least word hashes (copies and near copies) one is used.
+    A document with several labels has their rounded mean; null labels and ids do not count. Of training texts that
+    share their eight least feature hashes (copies and near copies) one is used. What reaches the driver is the
+    sample's feature hashes.
     """
     own = labels.where(f"`{label}` is not null and `{id_col}` is not null").groupBy(F.col(f"`{id_col}`").alias("__id")).agg(F.round(F.avg(f"`{label}`")).cast("int").alias("__label"))
     own = own.where(~held_out("__id"))
     parts = [own.where(F.col("__label") == c).orderBy(F.xxhash64("__id"), "__id").limit(sample_per_class) for c in (0, 1)]
     sample = F.broadcast(parts[0].union(parts[1]))  # 2 * sample_per_class rows at most
-    got = docs.join(sample, docs[id_col] == sample["__id"]).select("__id", "__label", text_of(f"`{text}`").alias("text"))
+    got = docs.join(sample, docs[id_col] == sample["__id"]).select(F.xxhash64("__id").alias("id"), "__label", text_of(f"`{text}`").alias("text"))
+    hashes = pa.list_(pa.int64())
+    kind = pa.list_(pa.struct([("gone", hashes), ("come", hashes)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ws = [sorted(words(t.as_py())) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array(ws, pa.list_(pa.string()))], names=["id", "label", "words"])
-
-    rows = got.mapInArrow(run, "id string, label int, words array<string>").toArrow().sort_by("id")
-    texts, ys, seen = [], [], set()
-    for v, ws in zip(rows["label"].to_pylist(), rows["words"], strict=True):
-        ws = ws.as_py()
-        key = tuple(sorted(hash_of(w) for w in ws)[:8])
+            for s in range(0, b.num_rows, 200):
+                some = b.slice(s, 200)
+                es = [example(words(t.as_py())) for t in some.column(2)]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(1), pa.array([e.features for e in es], hashes), pa.array([[{"gone": g, "come": c} for g, c in e.changes] for e in es], kind)],
+                    names=["id", "label", "features", "changes"],
+                )
+
+    rows = got.mapInArrow(run, "id bigint, label int, features array<bigint>, changes array<struct<gone:array<bigint>,come:array<bigint>>>").toArrow().sort_by("id").combine_chunks()
+    examples, ys, seen = [], [], set()
+    feats, changes = rows["features"], rows["changes"]
+    for i, v in enumerate(rows["label"].to_pylist()):
+        own_features = feats[i].values.to_numpy() if len(feats[i]) else np.empty(0, np.int64)
+        key = own_features[:8].tobytes()
         if key not in seen:
             seen.add(key)
-            texts.append(set(ws))
+            examples.append(Example(own_features, [(np.array(c["gone"], np.int64), np.array(c["come"], np.int64)) for c in changes[i].as_py()]))
             ys.append(v)
-    return fit(texts, ys, **how)
-
-
-def hash_of(word: str) -> int:
-    return zlib.crc32(word.encode())
+    return fit(examples, ys, **how)
 
 
 def held_out(id_col: str = "doc_id"):
