@@ -37,7 +37,7 @@ def shard_name(key: Column) -> Column:
 
 
 def complexity_score(depth: Column) -> Column:
-    return F.when(depth <= 1, F.lit(1)).otherwise(F.shiftleft(F.lit(1), (depth - 1).cast("int"))).cast("bigint")
+    return F.when(depth <= 1, F.lit(1)).otherwise(F.pow(F.lit(2.0), depth - 1)).cast("bigint")
 
 
 def complexity_level(depth: Column) -> Column:

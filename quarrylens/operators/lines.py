@@ -37,12 +37,11 @@ def line_range(of: DataFrame, spec: str) -> DataFrame:
 
 
 def is_blank(raw: Column) -> Column:
-    return F.trim(raw) == ""
+    return raw.rlike(r"^\s*$")
 
 
 def is_empty_or_comment(raw: Column, mark: str) -> Column:
-    t = F.trim(raw)
-    return (t == "") | t.startswith(mark)
+    return is_blank(raw) | F.regexp_replace(raw, r"^\s+", "").startswith(mark)
 
 
 def braces(clean: Column) -> Column:
@@ -62,8 +61,8 @@ def running_depth(of: DataFrame, text: str = "raw", key: str = "path") -> DataFr
 def line_classes(clean_lines: DataFrame) -> DataFrame:
     """Per file: total, blank, comment and code lines. Blank is tested first; a line of nothing but comment and
     literals is a comment, and so is one that starts with ``#!``."""
-    raw, clean = F.trim("raw"), F.trim("clean")
-    kind = F.when(raw == "", "blank").when(raw.startswith("#!") | (clean == ""), "comment").otherwise("code")
+    raw, clean = F.col("raw"), F.col("clean")
+    kind = F.when(is_blank(raw), "blank").when(raw.rlike(r"^\s*#!") | is_blank(clean), "comment").otherwise("code")
     k = clean_lines.withColumn("class", kind)
     count = lambda c: F.count_if(F.col("class") == c)
     return k.groupBy("path").agg(F.count("*").alias("total_lines"), count("blank").alias("blank_lines"), count("comment").alias("comment_lines"), count("code").alias("code_lines"))

@@ -84,7 +84,7 @@ def js_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A function per order, with as many nested ifs as the order has lines."""
-    one = lambda x: F.concat(F.lit("func f"), x["ok"], F.lit("() {\n"), F.array_join(F.array_repeat(F.lit("if a {\n"), F.size(x["items"])), ""), F.array_join(F.array_repeat(F.lit("}\n"), F.size(x["items"])), ""), F.lit("}\n"))
+    one = lambda x: F.concat(F.lit("func f"), x["ok"], F.lit("() {\n"), F.array_join(F.transform(x["items"], lambda i: F.lit("if a {\n")), ""), F.array_join(F.transform(x["items"], lambda i: F.lit("}\n")), ""), F.lit("}\n"))
     return with_lang(by_customer(spark, sf_dir).select(_path(".go").alias("path"), F.array_join(F.transform("orders", one), "").alias("content")))
 
 

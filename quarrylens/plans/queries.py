@@ -101,7 +101,7 @@ def brace_depth(spark, sf):
 @query
 def indent_levels(spark, sf):
     of = lines.lines(C.python_files(spark, sf))
-    return of.select("path", "line_no", T.indent_level(F.col("raw")).alias("indent"), T.indent_level(F.col("raw"), 8).alias("leading"), lines.is_empty_or_comment(F.col("raw"), "#").alias("idle"))
+    return of.select("path", "line_no", T.indent_level(F.col("raw")).alias("indent"), T.indent_level(F.col("raw"), 8).alias("leading_spaces"), lines.is_empty_or_comment(F.col("raw"), "#").alias("idle"))
 
 
 @query

@@ -88,7 +88,7 @@ def scan(spark: SparkSession, root: str, lang: str | None = None, recursive: boo
     """(path, content, ext, lang) of a source tree; paths are relative to ``root``. Spark lists and reads the files, so any store works."""
     base = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    cut = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/+(?=/)|^[a-z0-9]+://[^/]*", "")
+    cut = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:(//[^/]*)?", "")
     bare = re.sub(r"^[a-z0-9]+:(//[^/]*)?", "", base)
     rel = F.substring(cut, F.lit(len(bare) + 2), F.length(cut))
     files = raw.select(rel.alias("path"), F.col("content").alias("bytes"))
