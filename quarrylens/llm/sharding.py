@@ -28,7 +28,7 @@ def text_size(text: str = "text") -> Column:
 
 
 def _bins(keys: DataFrame, level: int, active: list[tuple]) -> list[tuple]:
-    """(prefix so far, digit, bytes, rows) at a level, for the bins named in ``active``.
+    """(prefixes of both keys, bytes, rows, whether no finer boundary can divide it) at a level, for the bins named in ``active``.
 
     Levels: 0 is the first FIRST_BITS of the first key, later ones STEP_BITS more each; after 64 bits the
     second key goes on. What reaches the driver is bounded: 2^FIRST_BITS rows at first, then
@@ -45,8 +45,9 @@ def _bins(keys: DataFrame, level: int, active: list[tuple]) -> list[tuple]:
         names = spark.createDataFrame([(a[0], a[1]) for a in active], "p1 bigint, p2 bigint")
         mine = keys.withColumns({"p1": top("k1", p1), "p2": top("k2", p2)}).join(F.broadcast(names), ["p1", "p2"])
         got = mine.groupBy(top("k1", b1).alias("v1"), top("k2", b2).alias("v2"))
-    rows = got.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
-    return sorted((_u(r.v1), _u(r.v2), r.bytes, r.rows) for r in rows)
+    alike = (F.min("k1") == F.max("k1")) & (F.min("k2") == F.max("k2"))
+    rows = got.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), alike.alias("alike")).collect()
+    return sorted((_u(r.v1), _u(r.v2), r.bytes, r.rows, r.alike) for r in rows)
 
 
 def _u(v: int) -> int:
@@ -89,16 +90,16 @@ def splitters(keys: DataFrame, shards: int, tolerance: float, part_bytes: int, m
         nxt: dict[tuple, tuple] = {}
         for (before_b, before_r), own, want in open_bins.values():
             cum, edges = (before_b, before_r), []
-            for v1, v2, b, r in own:
-                edges.append((v1, v2, *cum, b, r))
+            for v1, v2, b, r, alike in own:
+                edges.append((v1, v2, *cum, b, r, alike))
                 cum = (cum[0] + b, cum[1] + r)
             for measure in (by_bytes, by_both):
                 starts = [measure(e[2], e[3]) for e in edges]
                 for w in (w for w in want if w[0] is measure):
                     at = max(0, bisect_right(starts, w[1]) - 1)
-                    v1, v2, cb, cr, b, r = edges[at]
+                    v1, v2, cb, cr, b, r, alike = edges[at]
                     low, high = w[1] - starts[at], measure(cb + b, cr + r) - w[1]
-                    if min(low, high) > w[2] and r > 1 and level < LAST_LEVEL:
+                    if min(low, high) > w[2] and not alike and level < LAST_LEVEL:
                         nxt.setdefault((v1, v2), ((cb, cr), [], []))[2].append(w)
                     elif low <= high:
                         found.append((v1 << (64 - b1), v2 << (64 - b2) if b2 else 0, cr, w[3]))
@@ -108,9 +109,9 @@ def splitters(keys: DataFrame, shards: int, tolerance: float, part_bytes: int, m
         level += 1
         if nxt:
             b1, b2 = bits_at(level - 1)
-            for v1, v2, b, r in _bins(keys, level, [(_s(v1), _s(v2)) for v1, v2 in nxt]):
-                c1, c2 = bits_at(level)
-                nxt[v1 >> (c1 - b1), v2 >> (c2 - b2)][1].append((v1, v2, b, r))
+            c1, c2 = bits_at(level)
+            for found_bin in _bins(keys, level, [(_s(v1), _s(v2)) for v1, v2 in nxt]):
+                nxt[found_bin[0] >> (c1 - b1), found_bin[1] >> (c2 - b2)][1].append(found_bin)
         open_bins = nxt
     found.sort(key=lambda f: (f[0], f[1], f[2], f[3]))
     edges, shard_of, first = [], [0], [0]
