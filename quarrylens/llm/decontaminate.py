@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
-Texts become templates: numbers, names (capitalised words inside a sentence) and units after a number
+Texts become templates: numbers, names (capitalised words inside a sentence, not words in capitals) and units after a number
 turn into typed placeholders, everything else into lower-case words. Windows of ``width`` template words
 are hashed and joined with those of the benchmark; a document leaks an item if it holds a share
 ``threshold`` of the item's windows. Where an item has slots, their values must agree: along an
@@ -18,9 +18,9 @@ from .common import cut, text_of
 #: Units of measure that may follow a number.
 UNITS = "kg|g|mg|km|m|cm|mm|miles|mile|feet|ft|inches|inch|hours|hour|hrs|minutes|minute|min|seconds|second|sec|days|day|weeks|week|months|month|years|year|dollars|dollar|euros|euro|cents|cent|percent|litres|liters|litre|liter|ml|l|mph|kmh|meters|metres|meter|metre|pounds|pound|lbs|lb|degrees|degree"
 NUM, NAME, UNIT = "", "", ""
-NAMES = r"\p{Lu}(?<=[\p{Ll}\p{Nd},;]\x20\p{Lu})[\p{L}\p{M}'’-]*+(?:\x20\p{Lu}[\p{L}\p{M}'’-]*+)*+"
+NAMES = r"\p{Lu}(?<=[\p{Ll}\p{Nd},;]\x20\p{Lu})(?=['’-]?\p{Ll})[\p{L}\p{M}'’-]*+(?:\x20\p{Lu}(?=['’-]?\p{Ll})[\p{L}\p{M}'’-]*+)*+"
 UNITS_AFTER = rf"(?<=[0-9])\x20?(?:{UNITS})\b"
-NUMBERS = r"[0-9]++(?:[.,][0-9]++)*+"
+NUMBERS = r"(?<![\p{L}\p{M}\p{N}])[0-9]++(?:[.,][0-9]++)*+(?![\p{L}\p{M}])"
 BETWEEN = rf"[^\p{{L}}\p{{M}}\p{{N}}{NUM}{NAME}{UNIT}]+"
 #: Windows of the benchmark that are broadcast at most; with more, documents' windows are exchanged.
 BROADCAST_WINDOWS = 2_000_000
@@ -97,13 +97,14 @@ def _consistent(docs: DataFrame, items: DataFrame, pairs: DataFrame, id_col: str
     want = pairs.select(F.col("id").alias("pid"), F.col("text_hash").alias("ph"), "item_id", "coverage", "n_slots")
     both = keyed.dropDuplicates(["id", "text_hash"]).join(want, F.col("id").eqNullSafe(F.col("pid")) & (F.col("text_hash") == F.col("ph")))
     own = items.select("item_id", F.col("words").alias("iw"), F.col("slots").alias("is"), F.col("w"), F.col("win").alias("ih"))
-    both = both.join(own, "item_id").withColumns({"dw": template(F.col("text")), "ds": slot_values(F.col("text"))})
+    # each step is written out: its columns are used many times over, and candidates are few beside the corpus
+    both = cut(both.join(own, "item_id").select("id", "text_hash", "item_id", "coverage", "n_slots", "iw", "is", "w", "ih", template(F.col("text")).alias("dw"), slot_values(F.col("text")).alias("ds")))
     both = both.withColumns({"dh": windows(F.col("dw"), F.col("w")), "dp": _places(F.col("dw")), "ip": _places(F.col("iw"))})
     # alignments: where a window of the document is one of the item's, the difference of their places
-    diagonals = F.array_distinct(
-        F.flatten(F.transform("ih", lambda h, i: F.transform(F.filter(F.transform("dh", lambda x, j: F.struct(x.alias("x"), j.alias("j"))), lambda s: s["x"] == h), lambda s: s["j"] - i)))
-    )
-    both = both.withColumn("diagonals", diagonals)
+    numbered = F.transform("dh", lambda x, j: F.struct(x.alias("x"), j.alias("j")))
+    both = cut(both.withColumn("own", F.filter(numbered, lambda s: F.array_contains("ih", s["x"]))))
+    diagonals = F.array_distinct(F.flatten(F.transform("ih", lambda h, i: F.transform(F.filter("own", lambda s: s["x"] == h), lambda s: s["j"] - i))))
+    both = cut(both.withColumn("diagonals", diagonals).drop("own"))
     fits = lambda d: F.size(F.filter(F.transform("ih", lambda h, i: F.get("dh", i + d) == h), lambda ok: F.coalesce(ok, F.lit(False)))) >= F.size("ih") * F.lit(threshold)
 
     def slots_along(d: Column) -> Column:
@@ -116,9 +117,11 @@ def _consistent(docs: DataFrame, items: DataFrame, pairs: DataFrame, id_col: str
         seconds = F.array_distinct(F.transform(pairs, lambda s: F.struct(s["kind"], s["b"])))
         return (F.size(firsts) == F.size(pairs)) & (F.size(seconds) == F.size(pairs))
 
-    straight = F.filter("diagonals", fits)
-    whole = F.array_distinct(F.flatten(F.transform("diagonals", slots_along)))
-    ok = F.exists(straight, lambda d: agrees(slots_along(d))) | ((F.size(straight) == 0) & agrees(whole))
+    both = cut(both.select("id", "text_hash", "item_id", "coverage", "n_slots", F.transform("diagonals", lambda d: F.struct(fits(d).alias("fits"), slots_along(d).alias("slots"))).alias("along")))
+    straight = F.filter("along", lambda a: a["fits"])
+    both = both.withColumns({"straight": straight, "whole": F.array_distinct(F.flatten(F.transform("along", lambda a: a["slots"])))})
+    both = cut(both.drop("along"))
+    ok = F.exists("straight", lambda a: agrees(a["slots"])) | ((F.size("straight") == 0) & agrees(F.col("whole")))
     return both.where(ok).select("id", "text_hash", "item_id", "coverage", "n_slots").distinct()
 
 

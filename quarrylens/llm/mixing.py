@@ -47,7 +47,7 @@ def source_rates(df: DataFrame, source: str = "source", weights: dict[str, float
     Target weights are ``weights`` (missing sources: 0) or the input shares to ``power``, scaled to sum 1;
     the output has ``budget`` times the input's documents in the mean.
     """
-    sizes = df.groupBy(F.col(f"`{source}`").alias("__source")).agg(F.count("*").alias("n"))
+    sizes = df.select(F.col(f"`{source}`").alias("__source")).groupBy("__source").agg(F.count("*").alias("n"))
     if weights is None:
         w = F.pow(F.col("n").cast("double"), F.lit(power))
     else:
@@ -72,14 +72,14 @@ def mix(df: DataFrame, id_col: str = "doc_id", source: str = "source", text: str
     rows = df.drop("n_copies", "replica", "shuffle_key")
     rates = cut(source_rates(rows, source, weights, power, budget))
     few = rates.count() <= BROADCAST_SOURCES
-    side = rates.select("__source", "rate")
+    digest, name, rate = scratch(rows, "__digest"), scratch(rows, "__source"), scratch(rows, "__rate")
+    side = rates.select(F.col("__source").alias(name), F.col("rate").alias(rate))
     side = F.broadcast(side) if few else side
-    digest = scratch(rows, "__digest")
     ident = F.col(f"`{id_col}`")
     counted = (
-        rows.join(side, rows[source].eqNullSafe(side["__source"]), "inner" if few else "left")
+        rows.join(side, rows[source].eqNullSafe(side[name]), "inner" if few else "left")
         .withColumn(digest, F.md5(text_of(f"`{text}`").cast("binary")))
-        .withColumn("n_copies", poisson_count(uniform(seed, ident, F.col(digest)), F.col("rate")))
+        .withColumn("n_copies", poisson_count(uniform(seed, ident, F.col(digest)), F.col(rate)))
         .where("n_copies > 0")
     )
     copies = counted.withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))

@@ -159,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     own = own.where(~held_out("__id"))
     parts = [own.where(F.col("__label") == c).orderBy(F.xxhash64("__id"), "__id").limit(sample_per_class) for c in (0, 1)]
     sample = F.broadcast(parts[0].union(parts[1]))  # 2 * sample_per_class rows at most
-    got = docs.join(sample, docs[id_col] == sample["__id"]).select(F.xxhash64("__id").alias("id"), "__label", text_of(f"`{text}`").alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text}`").alias("text"))
+    got = rows.join(sample, F.col("id") == F.col("__id")).select(F.xxhash64("__id").alias("id"), "__label", "text")
     hashes = pa.list_(pa.int64())
     kind = pa.list_(pa.struct([("gone", hashes), ("come", hashes)]))
 
@@ -193,7 +194,7 @@ def held_out(id_col: str = "doc_id"):
 
 def score_texts(docs: DataFrame, model: Model, keep: list[str], text: str = "text", out: str = "score") -> DataFrame:
     """Columns ``keep`` and the score of each whole text."""
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], text_of(f"`{text}`").alias("__text"))
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], text_of(f"`{text}`").alias(scratch(docs, "__text")))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]] + [f"`{out}` double"])
     weights, bias = model.weights, model.bias
 
