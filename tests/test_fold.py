@@ -129,7 +129,6 @@ def test_inline_struct_swallows_nothing():
 
 def test_fields():
     text = "type User struct {\n\tID int\n\tName string\n\tBase\n\t// none\n\tTags []string\n\tAge int\n\tRun() error\n}\n"
-    assert [f[1] for f in parse_file("go", text, ("fields",))["fields"]] == ["ID", "Name", "Age"] or True
     got = {f[1] for f in parse_file("go", text, ("fields",))["fields"]}
     assert {"ID", "Name", "Age"} <= got and "Run" not in got and "Base" not in got
 
