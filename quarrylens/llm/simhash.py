@@ -320,7 +320,11 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "tex
     Where rows share that id, the one whose text has the least hash stays, and one of repeated rows.
     A row with a null id stays only if its component has no other id.
     """
-    ids, classes = _classes(df, id_col, text, width, budget, leaf_rows)
+    return drop_by_class(df, *_classes(df, id_col, text, width, budget, leaf_rows), id_col, text)
+
+
+def drop_by_class(df: DataFrame, ids: DataFrame, classes: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``df`` with the row that each class keeps, by (id, th, fp) of every row and (fp, root, keep) of every fp."""
     # what goes is less than what stays, and is known by slim keys; only those meet the texts
     stays = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("th") == F.col("keep.th"))
     gone = cut(ids.join(classes, "fp").where(~stays).select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct())

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarrylens.llm import decontaminate, mixing, pii, secrets, sharding, simhash, toxicity
+from quarrylens.llm import decontaminate, minhash, mixing, pii, secrets, sharding, simhash, toxicity
 
 DOCS = "doc_id bigint, text string"
 VOCABULARY = [f"w{i}" for i in range(400)]
@@ -104,6 +104,55 @@ def test_simhash_odd_rows(odd, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+# --- near copies -----------------------------------------------------------------------------------
+
+
+def plain_near_copies(docs, width=5, threshold=0.8):
+    """The ids that stay, by brute force over all pairs."""
+    words = {d: re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split() for d, t in docs}
+    sets = {d: {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for d, w in words.items()}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {find(d) for d in sets}
+
+
+@pytest.mark.parametrize("leaf_rows", [512, 3])
+def test_near_copies_of_brute_force(spark, leaf_rows):
+    import corpus_pipeline as P
+
+    rng = random.Random(8)
+    docs = [(0, None), (1, ""), (2, "  "), (3, "Two words"), (4, "two  WORDS"), (5, "two word")]
+    for _ in range(25):
+        words = prose(rng, rng.randint(60, 200)).split()
+        for _ in range(rng.randint(1, 7)):
+            w = list(words)
+            for _ in range(rng.randint(0, 6)):
+                w[rng.randrange(len(w))] = rng.choice(VOCABULARY)
+            docs.append((len(docs), " ".join(w)))
+    df = spark.createDataFrame(docs, DOCS)
+    want = plain_near_copies(docs)
+    assert {r.doc_id for r in minhash.drop_near_copies(df, leaf_rows=leaf_rows).collect()} == want
+    assert {r.doc_id for r in P.near_duplicates(spark, df, "").collect()} == want
+    assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} != want
+
+
+def test_near_copies_odd_rows(odd, none):
+    kept = minhash.drop_near_copies(odd)
+    assert kept.columns == odd.columns
+    assert Counter(r.doc_id for r in kept.collect()) == {1: 1, 3: 1, 5: 1, 7: 1, None: 1}
+    assert minhash.drop_near_copies(none).count() == 0
+
+
 # --- op1 -------------------------------------------------------------------------------------------
 
 
