@@ -17,7 +17,7 @@ from .common import cut, text_of
 
 #: Units of measure that may follow a number.
 UNITS = "kg|g|mg|km|m|cm|mm|miles|mile|feet|ft|inches|inch|hours|hour|hrs|minutes|minute|min|seconds|second|sec|days|day|weeks|week|months|month|years|year|dollars|dollar|euros|euro|cents|cent|percent|litres|liters|litre|liter|ml|l|mph|kmh|meters|metres|meter|metre|pounds|pound|lbs|lb|degrees|degree"
-NUM, NAME, UNIT = "", "", ""
+NUM, NAME, UNIT, END = "", "", "", ""
 NAMES = r"\p{Lu}(?<=[\p{Ll}\p{Nd},;]\x20\p{Lu})(?=['’-]?\p{Ll})[\p{L}\p{M}'’-]*+(?:\x20\p{Lu}(?=['’-]?\p{Ll})[\p{L}\p{M}'’-]*+)*+"
 UNITS_AFTER = rf"(?<=[0-9])\x20?(?:{UNITS})\b"
 NUMBERS = r"(?<![\p{L}\p{M}\p{N}])[0-9]++(?:[.,][0-9]++)*+(?![\p{L}\p{M}])"
@@ -26,18 +26,23 @@ BETWEEN = rf"[^\p{{L}}\p{{M}}\p{{N}}{NUM}{NAME}{UNIT}]+"
 BROADCAST_WINDOWS = 2_000_000
 
 
+def _replaced(text: Column, value: str) -> Column:
+    """``text`` with each placeholder and then ``value``, where $0 is what it stands for, in place of names, units and numbers."""
+    own = F.regexp_replace(text, f"[{NUM}{NAME}{UNIT}{END}]", " ")
+    named = F.regexp_replace(own, NAMES, f" {NAME}{value} ")
+    units = F.regexp_replace(named, UNITS_AFTER, f" {UNIT}{value} ")
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(units, NUMBERS, f" {NUM}{value} ")).otherwise(named)
+
+
 def template(text: Column) -> Column:
     """The template's words, as an array of strings."""
-    named = F.regexp_replace(text, NAMES, f" {NAME} ")
-    numbered = F.when(
-        text.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(named, UNITS_AFTER, f" {UNIT} "), NUMBERS, f" {NUM} ")
-    ).otherwise(named)
-    return F.array_remove(F.split(F.lower(numbered), BETWEEN, -1), "")
+    return F.array_remove(F.split(F.lower(_replaced(text, "")), BETWEEN, -1), "")
 
 
 def slot_values(text: Column) -> Column:
-    """What the placeholders stand for, in the template's order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(f"{NAMES}|{UNITS_AFTER}|{NUMBERS}"), F.lit(0)), lambda v: F.lower(F.trim(v)))
+    """What the placeholders stand for, in the template's order, by the same replacements; values hold no placeholder."""
+    found = F.regexp_extract_all(_replaced(text, f"$0{END}"), F.lit(f"[{NUM}{NAME}{UNIT}]([^{END}]*+){END}"), F.lit(1))
+    return F.transform(found, lambda v: F.lower(F.trim(v)))
 
 
 def windows(words: Column, width: int | Column) -> Column:

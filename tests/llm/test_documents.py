@@ -180,6 +180,20 @@ def test_leaks(spark):
     assert not {x for x in got if x[1] in (2, 3)}
 
 
+def test_slots_follow_the_template(spark):
+    texts = ["A 5kg bag", "on Windows10 with 3 km", "x 5kg, 7 kg and 2.5kg to Anna Lee", "he is 12th of 3", "a \ue000 \ue001b 4 \ue003 kg 5kg", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    words, values = decontaminate.template(F.coalesce("text", F.lit(""))), decontaminate.slot_values(F.coalesce("text", F.lit("")))
+    for r in df.select(words.alias("words"), values.alias("values")).collect():
+        assert sum(w in (decontaminate.NUM, decontaminate.NAME, decontaminate.UNIT) for w in r["words"]) == len(r["values"])
+    assert df.limit(2).select(values.alias("v")).collect() == [(["5", "kg"],), (["windows", "10", "3", "km"],)]
+
+
+def test_leaks_with_attached_units(spark):
+    docs = [f"A 5kg bag. {ITEM}", f"a shop on Windows10 sold it. {ITEM}", ITEM.replace("3 km", "3km"), f"A 5kg bag. {ITEM.replace('12 apples', '40 apples')}"]
+    assert leaks(spark, docs, [ITEM]) == {(0, 0), (1, 0), (2, 0)}
+
+
 def test_short_items(spark):
     assert leaks(spark, ["a b c d", "x a b c y", "a b", "c b a"], ["a b c"]) == {(0, 0), (1, 0)}
 
