@@ -6,6 +6,10 @@ are hashed and joined with those of the benchmark; a document leaks an item if i
 ``threshold`` of the item's windows. Where an item has slots, their values must agree: along an
 alignment, each value in the item answers to one value in the document and the other way round, so a
 question with other numbers is caught while unrelated text that fits the template is not.
+
+Both sides have a second form in which every capitalised word is a name, wherever it stands (after a full
+stop, line break, quote or bracket), and a document leaks an item in either form. Items that keep fewer
+words than a window in the second form, or mostly placeholders, have the first form only, since their windows would fit by chance.
 """
 
 from __future__ import annotations
@@ -19,6 +23,9 @@ from .common import cut, text_of
 UNITS = "kg|g|mg|km|m|cm|mm|miles|mile|feet|ft|inches|inch|hours|hour|hrs|minutes|minute|min|seconds|second|sec|days|day|weeks|week|months|month|years|year|dollars|dollar|euros|euro|cents|cent|percent|litres|liters|litre|liter|ml|l|mph|kmh|meters|metres|meter|metre|pounds|pound|lbs|lb|degrees|degree"
 NUM, NAME, UNIT, END = "", "", "", ""
 NAMES = r"\p{Lu}(?<=[\p{Ll}\p{Nd},;]\x20\p{Lu})(?=['’-]?\p{Ll})[\p{L}\p{M}'’-]*+(?:\x20\p{Lu}(?=['’-]?\p{Ll})[\p{L}\p{M}'’-]*+)*+"
+ALL_NAMES = r"\p{Lu}(?<![\p{L}\p{M}\p{N}]\p{Lu})(?=['’-]?\p{Ll})[\p{L}\p{M}'’-]*+(?:\x20\p{Lu}(?=['’-]?\p{Ll})[\p{L}\p{M}'’-]*+)*+"
+#: Names of each form: inside a sentence, and anywhere.
+FORMS = (NAMES, ALL_NAMES)
 UNITS_AFTER = rf"(?<=[0-9])\x20?(?:{UNITS})\b"
 NUMBERS = r"(?<![\p{L}\p{M}\p{N}])[0-9]++(?:[.,][0-9]++)*+(?![\p{L}\p{M}])"
 BETWEEN = rf"[^\p{{L}}\p{{M}}\p{{N}}{NUM}{NAME}{UNIT}]+"
@@ -26,41 +33,50 @@ BETWEEN = rf"[^\p{{L}}\p{{M}}\p{{N}}{NUM}{NAME}{UNIT}]+"
 BROADCAST_WINDOWS = 2_000_000
 
 
-def _replaced(text: Column, value: str) -> Column:
+def _replaced(text: Column, value: str, names: str) -> Column:
     """``text`` with each placeholder and then ``value``, where $0 is what it stands for, in place of names, units and numbers."""
     own = F.regexp_replace(text, f"[{NUM}{NAME}{UNIT}{END}]", " ")
-    named = F.regexp_replace(own, NAMES, f" {NAME}{value} ")
+    named = F.regexp_replace(own, names, f" {NAME}{value} ")
     units = F.regexp_replace(named, UNITS_AFTER, f" {UNIT}{value} ")
     return F.when(text.rlike("[0-9]"), F.regexp_replace(units, NUMBERS, f" {NUM}{value} ")).otherwise(named)
 
 
-def template(text: Column) -> Column:
+def template(text: Column, names: str = NAMES) -> Column:
     """The template's words, as an array of strings."""
-    return F.array_remove(F.split(F.lower(_replaced(text, "")), BETWEEN, -1), "")
+    return F.array_remove(F.split(F.lower(_replaced(text, "", names)), BETWEEN, -1), "")
 
 
-def slot_values(text: Column) -> Column:
+def slot_values(text: Column, names: str = NAMES) -> Column:
     """What the placeholders stand for, in the template's order, by the same replacements; values hold no placeholder."""
-    found = F.regexp_extract_all(_replaced(text, f"$0{END}"), F.lit(f"[{NUM}{NAME}{UNIT}]([^{END}]*+){END}"), F.lit(1))
+    found = F.regexp_extract_all(_replaced(text, f"$0{END}", names), F.lit(f"[{NUM}{NAME}{UNIT}]([^{END}]*+){END}"), F.lit(1))
     return F.transform(found, lambda v: F.lower(F.trim(v)))
 
 
-def windows(words: Column, width: int | Column) -> Column:
-    """Hashes of all windows; a text of fewer words has none."""
+def hashed(words: Column) -> Column:
+    """Each word's hash. Windows are made of these, so that a word's letters are read once."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def windows(words: Column, width: int | Column, form: Column) -> Column:
+    """Hashes of all windows of hashed words, apart for each form; a text of fewer words has none."""
     n = F.lit(width) if isinstance(width, int) else width
     at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(F.slice(words, i, n)))
+    if isinstance(width, int):  # the hash of an array is that of its members in turn
+        return F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + (k - 1)) for k in range(width)], form))
+    return F.transform(at, lambda i: F.xxhash64(F.slice(words, i, n), form))
 
 
 def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, width: int) -> DataFrame:
-    """(item_id, words, slots, w, win): items, with windows of ``width`` words or, for shorter items, of all their words."""
+    """(item_id, form, words, slots, w, win): items in both forms, with windows of ``width`` words or, for shorter items, of all their words."""
     items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), text_of(f"`{text}`").alias("text"))
-    items = items.select("item_id", template(F.col("text")).alias("words"), slot_values(F.col("text")).alias("slots")).where(F.size("words") > 0)
+    forms = [F.struct(F.lit(k).alias("form"), template(F.col("text"), names).alias("words"), slot_values(F.col("text"), names).alias("slots")) for k, names in enumerate(FORMS)]
+    items = items.select("item_id", F.explode(F.array(*forms)).alias("x")).select("item_id", "x.*").where(F.size("words") > 0)
+    items = items.where((F.col("form") == 0) | ((F.size("words") >= width) & (F.size("slots") * 2 <= F.size("words"))))
     items = items.withColumn("w", F.least(F.size("words"), F.lit(width)))
-    items = items.withColumn("win", windows(F.col("words"), F.col("w")))
+    items = items.withColumn("win", windows(hashed(F.col("words")), F.col("w"), F.col("form")))
     # inside a sentence the first word of a quoted item looks like a name, where it is capitalised
     other = F.concat(F.array(F.lit(NAME)), F.slice("words", 2, F.size("words")))
-    return items.withColumn("first_as_name", F.when(F.size("words") >= F.col("w"), F.xxhash64(F.slice(other, 1, F.col("w")))))
+    return items.withColumn("first_as_name", F.when((F.col("form") == 0) & (F.size("words") >= F.col("w")), F.xxhash64(F.slice(hashed(other), 1, F.col("w")), F.col("form"))))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -74,24 +90,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     items = cut(benchmark_windows(benchmark, item_id, item_text, width))
     # repeated item ids are one item: its windows are those of all its rows, by hash
     first = F.struct(F.get("win", F.lit(0)).alias("pos"), F.col("first_as_name").alias("h"))
-    bench = items.select("item_id", F.explode(F.concat(F.transform("win", lambda h: F.struct(h.alias("pos"), h.alias("h"))), F.array(first))).alias("x")).select("item_id", "x.pos", "x.h").distinct()
-    totals = bench.groupBy("item_id").agg(F.count_distinct("pos").alias("total")).join(items.groupBy("item_id").agg(F.max(F.size("slots")).alias("n_slots")), "item_id")
-    found = cut(bench.join(totals, "item_id"))
+    bench = items.select("item_id", "form", F.explode(F.concat(F.transform("win", lambda h: F.struct(h.alias("pos"), h.alias("h"))), F.array(first))).alias("x")).select("item_id", "form", "x.pos", "x.h").distinct()
+    slots = items.groupBy("item_id", "form").agg(F.max(F.size("slots")).alias("form_slots"))
+    own = items.where("form = 0").groupBy("item_id").agg(F.max(F.size("slots")).alias("n_slots"))
+    totals = bench.groupBy("item_id", "form").agg(F.count_distinct("pos").alias("total")).join(slots, ["item_id", "form"]).join(own, "item_id")
+    found = cut(bench.join(totals, ["item_id", "form"]))
     small = found.count() <= BROADCAST_WINDOWS
-    lengths = sorted(r.w for r in items.select("w").distinct().collect())  # at most ``width`` values
+    lengths = sorted((r.form, r.w) for r in items.select("form", "w").distinct().collect())  # at most ``width`` values a form
     src = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text}`").alias("text"))
-    src = src.select("id", F.xxhash64("text").alias("text_hash"), template(F.col("text")).alias("words"))
-    win = F.concat(*[windows(F.col("words"), w) for w in lengths]) if lengths else F.array().cast("array<bigint>")
+    src = src.select("id", F.xxhash64("text").alias("text_hash"), *[hashed(template(F.col("text"), names)).alias(f"words_{k}") for k, names in enumerate(FORMS)])
+    win = F.concat(*[windows(F.col(f"words_{k}"), w, F.lit(k)) for k, w in lengths]) if lengths else F.array().cast("array<bigint>")
     rows = src.select("id", "text_hash", F.explode(F.array_distinct(win)).alias("h"))
-    side = found.select("h", "pos", "item_id", "total", "n_slots")
+    keys = ["item_id", "form", "total", "form_slots", "n_slots"]
+    side = found.select("h", "pos", *keys)
     hits = rows.join(F.broadcast(side) if small else side, "h")
-    pairs = hits.groupBy("id", "text_hash", "item_id", "total", "n_slots").agg(F.count_distinct("pos").alias("got"))
-    pairs = pairs.select("id", "text_hash", "item_id", (F.col("got") / F.col("total")).alias("coverage"), "n_slots").where(F.col("coverage") >= threshold)
+    pairs = hits.groupBy("id", "text_hash", *keys).agg(F.count_distinct("pos").alias("got"))
+    pairs = pairs.select("id", "text_hash", "item_id", "form", (F.col("got") / F.col("total")).alias("coverage"), "n_slots", "form_slots").where(F.col("coverage") >= threshold)
     pairs = cut(pairs)
-    plain = pairs.where("n_slots = 0")
-    slotted = pairs.where("n_slots > 0")
+    plain = pairs.where("form_slots = 0").drop("form", "form_slots")
+    slotted = pairs.where("form_slots > 0").drop("form_slots")
     if slotted.limit(1).count():
         plain = plain.union(_consistent(docs, items, slotted, id_col, text, threshold))
+    plain = plain.groupBy("id", "text_hash", "item_id").agg(F.max("coverage").alias("coverage"), F.max("n_slots").alias("n_slots"))
     return plain.select(F.col("id").alias(id_col), "text_hash", "item_id", "coverage", "n_slots")
 
 
@@ -99,12 +119,18 @@ def _consistent(docs: DataFrame, items: DataFrame, pairs: DataFrame, id_col: str
     """The pairs whose slots agree along some alignment. Only their documents' texts are read again."""
     src = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text}`").alias("text"))
     keyed = src.withColumn("text_hash", F.xxhash64("text"))
-    want = pairs.select(F.col("id").alias("pid"), F.col("text_hash").alias("ph"), "item_id", "coverage", "n_slots")
-    both = keyed.dropDuplicates(["id", "text_hash"]).join(want, F.col("id").eqNullSafe(F.col("pid")) & (F.col("text_hash") == F.col("ph")))
-    own = items.select("item_id", F.col("words").alias("iw"), F.col("slots").alias("is"), F.col("w"), F.col("win").alias("ih"))
+    want = pairs.select(F.col("id").alias("pid"), F.col("text_hash").alias("ph"), "item_id", "form", "coverage", "n_slots")
+    # only the texts of candidates are exchanged, each once
+    wanted = want.select("pid", "ph").distinct()
+    few = F.broadcast(wanted) if pairs.count() <= BROADCAST_WINDOWS else wanted
+    keyed = keyed.join(few, F.col("id").eqNullSafe(F.col("pid")) & (F.col("text_hash") == F.col("ph")), "left_semi").dropDuplicates(["id", "text_hash"])
+    both = keyed.join(want, F.col("id").eqNullSafe(F.col("pid")) & (F.col("text_hash") == F.col("ph")))
+    own = items.select("item_id", "form", F.col("words").alias("iw"), F.col("slots").alias("is"), F.col("w"), F.col("win").alias("ih"))
     # each step is written out: its columns are used many times over, and candidates are few beside the corpus
-    both = cut(both.join(own, "item_id").select("id", "text_hash", "item_id", "coverage", "n_slots", "iw", "is", "w", "ih", template(F.col("text")).alias("dw"), slot_values(F.col("text")).alias("ds")))
-    both = both.withColumns({"dh": windows(F.col("dw"), F.col("w")), "dp": _places(F.col("dw")), "ip": _places(F.col("iw"))})
+    in_form = lambda of: F.when(F.col("form") == 0, of(F.col("text"), FORMS[0])).otherwise(of(F.col("text"), FORMS[1]))
+    both = cut(both.join(own, ["item_id", "form"]).select("id", "text_hash", "item_id", "form", "coverage", "n_slots", "iw", "is", "w", "ih", in_form(template).alias("dw"), in_form(slot_values).alias("ds")))
+    both = both.withColumn("hw", hashed(F.col("dw")))
+    both = both.withColumns({"dh": windows(F.col("hw"), F.col("w"), F.col("form")), "dp": _places(F.col("dw")), "ip": _places(F.col("iw"))})
     # alignments: where a window of the document is one of the item's, the difference of their places
     numbered = F.transform("dh", lambda x, j: F.struct(x.alias("x"), j.alias("j")))
     both = cut(both.withColumn("own", F.filter(numbered, lambda s: F.array_contains("ih", s["x"]))))

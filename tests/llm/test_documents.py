@@ -194,6 +194,17 @@ def test_leaks_with_attached_units(spark):
     assert leaks(spark, docs, [ITEM]) == {(0, 0), (1, 0), (2, 0)}
 
 
+def test_leaks_with_other_names_at_sentence_starts(spark):
+    item = "Alice has 3 apples. Bob takes 2 from her. How many does Alice have?"
+    docs = [
+        item, item.replace("Alice", "Mary").replace("Bob", "Peter Smith"), item.replace("Bob", "Peter").replace("Alice", "Mary").replace(". ", ".\n"),
+        item.replace("Alice has", "Mary has").replace("Bob", "Peter"), item.lower(), f'She asked: "{item.replace("Alice", "Mary").replace("Bob", "Peter")}"', "Mary has 4 pears. Then Bob takes 2 of them.",
+    ]
+    # the fourth renames only one of two equal names, so its slots disagree; an item of names only does not fit other names
+    assert leaks(spark, docs, [item, "Alice\nBob\nCarol\nDave\nEve", "How are you"]) == {(k, 0) for k in (0, 1, 2, 4, 5)}
+    assert leaks(spark, ["Where are you", "Peter\nPaul\nMary\nJohn\nMax", "how are you"], ["How are you", "Alice\nBob\nCarol\nDave\nEve"]) == {(2, 0)}
+
+
 def test_short_items(spark):
     assert leaks(spark, ["a b c d", "x a b c y", "a b", "c b a"], ["a b c"]) == {(0, 0), (1, 0)}
 
