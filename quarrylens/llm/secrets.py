@@ -120,13 +120,14 @@ def literal_spans(text: str, threshold: float = THRESHOLD) -> list[Span]:
     low = text.lower()
     if not any(part in low for part in SENSITIVE):
         return []
-    bound: dict[str, list[Literal]] = {}
+    bound: dict[str, list[Literal]] = {}  # by the whole name
+    last: dict[str, list[Literal]] = {}  # by its last part, for names that are not bound as a whole
     out: set[Span] = set()
     for target, expr in assignments(text):
         parts: list[Literal] = []
         for x in expr:
-            parts += bound.get(x, []) if isinstance(x, str) else [x]
-        bound[target.rsplit(".", 1)[-1]] = parts[:64]
+            parts += bound.get(x, last.get(x.rsplit(".", 1)[-1], [])) if isinstance(x, str) else [x]
+        bound[target] = last[target.rsplit(".", 1)[-1]] = parts[:64]
         if parts and score(target, "".join(p.value for p in parts)) >= threshold:
             out |= {(p.start, 3, p.end, "literal") for p in parts if p.end > p.start}
     return sorted(out)

@@ -264,6 +264,20 @@ def test_literals(text, values):
     assert [text[s:e] for s, _, e, _ in secrets.literal_spans(text)] == values
 
 
+@pytest.mark.parametrize(
+    ("text", "values"),
+    [
+        ('settings.KEY = "s3cr3tValue99xyz"\nclient_secret = settings.KEY', ["s3cr3tValue99xyz"]),
+        ('self.k = "s3cr3tValue99xyz"\nauth_token = self.k\n', ["s3cr3tValue99xyz"]),
+        ('a.k = "s3cr3tValue99xyz"\nb.k = "plain words of text"\nauth_token = a.k', ["s3cr3tValue99xyz"]),
+        ('KEY = "s3cr3tValue99xyz"\nclient_secret = settings.KEY', ["s3cr3tValue99xyz"]),
+        ('conf.k = "s3cr3tValue99xyz"\nclient_secret = k', ["s3cr3tValue99xyz"]),
+    ],
+)
+def test_literals_of_dotted_constants(text, values):
+    assert [text[s:e] for s, _, e, _ in secrets.literal_spans(text)] == values
+
+
 def test_secrets_odd_rows(odd, none):
     rows = secrets.digest(secrets.find_secrets(odd)).collect()
     assert len(rows) == 10 and {r.spans for r in rows} == {""} and rows[0].base_sha256 == hashlib.sha256(b"").hexdigest()
