@@ -100,19 +100,42 @@ def assignments(text: str) -> Iterator[tuple[str, list[str | Literal]]]:
         yield target, expr
 
 
-def entropy(value: str) -> float:
-    n = len(value)
-    return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
+class Value:
+    """An expression's literals in order, as shared parts, with what scoring needs of their joined text.
+
+    Parts are literals and other values, never copied, so that repeated joining does not grow; ``head`` is
+    the text's beginning, all of it where it is no longer than ``HEAD``.
+    """
+
+    HEAD = 64
+    __slots__ = ("counts", "head", "length", "parts")
+
+    def __init__(self, parts: list[Literal | Value]):
+        self.parts, self.length, self.head, self.counts = parts, 0, "", Counter()
+        for p in parts:
+            text = p.value if isinstance(p, Literal) else p.head
+            self.length += len(text) if isinstance(p, Literal) else p.length
+            self.head = (self.head + text[: self.HEAD])[: self.HEAD]
+            self.counts.update(text if isinstance(p, Literal) else p.counts)
+        if self.length > 1 << 60:  # longer than any text, by doubling: shares are all that counts
+            self.counts = Counter({c: n >> 30 or 1 for c, n in self.counts.items()})
+            self.length = sum(self.counts.values())
+
+
+def entropy(counts: Counter) -> float:
+    n = sum(counts.values())
+    return -sum(c / n * math.log2(c / n) for c in counts.values()) if n else 0.0
 
 
-def score(target: str, value: str) -> float:
+def score(target: str, value: Value) -> float:
     """How likely ``value`` is a secret, given the name it is bound to (0 to 1)."""
     name = target.lower()
     told = max((w for part, w in SENSITIVE.items() if part in name), default=0.0)
-    if not told or len(value) < 6 or value.lower() in PLACEHOLDERS or value.startswith(("${", "$(", "<", "{{", "%(")):
+    n, head = value.length, value.head
+    if not told or n < 6 or (n <= Value.HEAD and head.lower() in PLACEHOLDERS) or head.startswith(("${", "$(", "<", "{{", "%(")):
         return 0.0
-    shape = 0.1 * (len(value) >= 12) + 0.1 * (len(value) >= 20) + 0.1 * any(c.isdigit() for c in value) + 0.1 * (entropy(value) >= 3.0)
-    return max(0.0, min(1.0, told + shape - 0.3 * (" " in value)))
+    shape = 0.1 * (n >= 12) + 0.1 * (n >= 20) + 0.1 * any(c.isdigit() for c in value.counts) + 0.1 * (entropy(value.counts) >= 3.0)
+    return max(0.0, min(1.0, told + shape - 0.3 * (" " in value.counts)))
 
 
 def literal_spans(text: str, threshold: float = THRESHOLD) -> list[Span]:
@@ -120,16 +143,22 @@ def literal_spans(text: str, threshold: float = THRESHOLD) -> list[Span]:
     low = text.lower()
     if not any(part in low for part in SENSITIVE):
         return []
-    bound: dict[str, list[Literal]] = {}  # by the whole name
-    last: dict[str, list[Literal]] = {}  # by its last part, for names that are not bound as a whole
+    bound: dict[str, Value] = {}  # by the whole name
+    last: dict[str, Value] = {}  # by its last part, for names that are not bound as a whole
     out: set[Span] = set()
+    seen: dict[int, Value] = {}  # values whose literals are in ``out``
     for target, expr in assignments(text):
-        parts: list[Literal] = []
-        for x in expr:
-            parts += bound.get(x, last.get(x.rsplit(".", 1)[-1], [])) if isinstance(x, str) else [x]
-        bound[target] = last[target.rsplit(".", 1)[-1]] = parts[:64]
-        if parts and score(target, "".join(p.value for p in parts)) >= threshold:
-            out |= {(p.start, 3, p.end, "literal") for p in parts if p.end > p.start}
+        parts = [bound.get(x, last.get(x.rsplit(".", 1)[-1])) if isinstance(x, str) else x for x in expr]
+        value = Value([p for p in parts if p is not None])
+        bound[target] = last[target.rsplit(".", 1)[-1]] = value
+        if score(target, value) >= threshold:
+            todo = [value]
+            while todo:
+                v = todo.pop()
+                if id(v) not in seen:
+                    seen[id(v)] = v
+                    out |= {(p.start, 3, p.end, "literal") for p in v.parts if isinstance(p, Literal) and p.end > p.start}
+                    todo += [p for p in v.parts if isinstance(p, Value)]
     return sorted(out)
 
 

@@ -278,6 +278,15 @@ def test_literals_of_dotted_constants(text, values):
     assert [text[s:e] for s, _, e, _ in secrets.literal_spans(text)] == values
 
 
+def test_constants_of_many_parts():
+    pieces = [f"Zm9vYmFy{i:04}" for i in range(3000)]
+    lines = ['k = "' + pieces[0] + '"'] + [f'k = k + "{p}"' for p in pieces[1:]] + ["private_key = k"]
+    for text in ("\n".join(lines), "private_key = " + " + ".join(f'"{p}"' for p in pieces), "k = " + " + ".join(f'"{p}"' for p in pieces) + "\nprivate_key = k"):
+        assert [text[s:e] for s, _, e, _ in secrets.literal_spans(text)] == pieces
+    text = 'k = "Zm9vYmFyMTIz"\n' + "k = k + k\n" * 2000 + "private_key = k"
+    assert [text[s:e] for s, _, e, _ in secrets.literal_spans(text)] == ["Zm9vYmFyMTIz"]
+
+
 def test_secrets_odd_rows(odd, none):
     rows = secrets.digest(secrets.find_secrets(odd)).collect()
     assert len(rows) == 10 and {r.spans for r in rows} == {""} and rows[0].base_sha256 == hashlib.sha256(b"").hexdigest()
