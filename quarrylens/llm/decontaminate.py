@@ -1,15 +1,16 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
-Texts become templates: numbers, names (capitalised words inside a sentence, not words in capitals) and units after a number
-turn into typed placeholders, everything else into lower-case words. Windows of ``width`` template words
-are hashed and joined with those of the benchmark; a document leaks an item if it holds a share
-``threshold`` of the item's windows. Where an item has slots, their values must agree: along an
-alignment, each value in the item answers to one value in the document and the other way round, so a
-question with other numbers is caught while unrelated text that fits the template is not.
-
-Both sides have a second form in which every capitalised word is a name, wherever it stands (after a full
-stop, line break, quote or bracket), and a document leaks an item in either form. Items that keep fewer
-words than a window in the second form, or mostly placeholders, have the first form only, since their windows would fit by chance.
+Texts become templates: numbers, names and units after a number turn into typed placeholders,
+everything else into lower-case words. A name is a capitalised word inside a sentence, or a run of them
+anywhere; a single capitalised word where a sentence may start is marked and counts as a word or as a
+name, whichever fits. Windows of ``width`` template words are hashed and joined with those of the
+benchmark; a document leaks an item if it holds a share ``threshold`` of the item's windows. Items are
+also looked for in lower case, for copies that have lost their capitals.
+
+Where windows that fit hold slots, the slots have to agree: along one alignment, equal values of the
+item answer to equal values of the document. So a question with other numbers is caught, also where two
+numbers became the same one, while text that fits the template by chance is not. This check works on
+rows of (pair, alignment, place), one for each window that fits, and is linear in them.
 """
 
 from __future__ import annotations
@@ -21,62 +22,132 @@ from .common import cut, text_of
 
 #: Units of measure that may follow a number.
 UNITS = "kg|g|mg|km|m|cm|mm|miles|mile|feet|ft|inches|inch|hours|hour|hrs|minutes|minute|min|seconds|second|sec|days|day|weeks|week|months|month|years|year|dollars|dollar|euros|euro|cents|cent|percent|litres|liters|litre|liter|ml|l|mph|kmh|meters|metres|meter|metre|pounds|pound|lbs|lb|degrees|degree"
-NUM, NAME, UNIT, END = "", "", "", ""
-NAMES = r"\p{Lu}(?<=[\p{Ll}\p{Nd},;]\x20\p{Lu})(?=['’-]?\p{Ll})[\p{L}\p{M}'’-]*+(?:\x20\p{Lu}(?=['’-]?\p{Ll})[\p{L}\p{M}'’-]*+)*+"
-ALL_NAMES = r"\p{Lu}(?<![\p{L}\p{M}\p{N}]\p{Lu})(?=['’-]?\p{Ll})[\p{L}\p{M}'’-]*+(?:\x20\p{Lu}(?=['’-]?\p{Ll})[\p{L}\p{M}'’-]*+)*+"
-#: Names of each form: inside a sentence, and anywhere.
-FORMS = (NAMES, ALL_NAMES)
+#: Private characters: the three placeholders, the end of a value, and the mark of a word that may be a name.
+NUM, NAME, UNIT, END, MAYBE = "", "", "", "", ""
+OWN = f"[{NUM}{NAME}{UNIT}{END}{MAYBE}]"
+#: A word's capital with a small letter after it, the rest of such a word, and the beginning of the next one of a run.
+CAPITAL = rf"\p{{Lu}}(?<![\p{{L}}\p{{M}}\p{{N}}{MAYBE}]\p{{Lu}})(?=['’-]?\p{{Ll}})"
+REST = r"[\p{L}\p{M}'’-]*+"
+NEXT = r"(?<=\p{Ll})\x20\p{Lu}(?=['’-]?\p{Ll})"
+#: The capital of a single name that does not follow a small letter, digit, comma or semicolon and a blank.
+MAYBE_NAMES = rf"{CAPITAL}(?<![\p{{Ll}}\p{{Nd}},;]\x20\p{{Lu}})(?!{REST}{NEXT})"
+NAMES = rf"{CAPITAL}{REST}(?:{NEXT}{REST})*+"
 UNITS_AFTER = rf"(?<=[0-9])\x20?(?:{UNITS})\b"
-NUMBERS = r"(?<![\p{L}\p{M}\p{N}])[0-9]++(?:[.,][0-9]++)*+(?![\p{L}\p{M}])"
-BETWEEN = rf"[^\p{{L}}\p{{M}}\p{{N}}{NUM}{NAME}{UNIT}]+"
+NUMBERS = r"[0-9](?<![\p{L}\p{M}\p{N}][0-9])[0-9]*+(?:[.,][0-9]++)*+(?![\p{L}\p{M}])"
+BETWEEN = rf"[^\p{{L}}\p{{M}}\p{{N}}{NUM}{NAME}{UNIT}{MAYBE}]+"
+TOKEN = rf"[{NUM}{NAME}{UNIT}][^{END}]*+{END}|[\p{{L}}\p{{M}}\p{{N}}{MAYBE}]++"
 #: Windows of the benchmark that are broadcast at most; with more, documents' windows are exchanged.
 BROADCAST_WINDOWS = 2_000_000
+#: Then each window of the benchmark has so many copies, and a window that many documents hold as many keys.
+SALTS = 32
 
 
-def _replaced(text: Column, value: str, names: str) -> Column:
+def _replaced(text: Column, value: str) -> Column:
     """``text`` with each placeholder and then ``value``, where $0 is what it stands for, in place of names, units and numbers."""
-    own = F.regexp_replace(text, f"[{NUM}{NAME}{UNIT}{END}]", " ")
-    named = F.regexp_replace(own, names, f" {NAME}{value} ")
+    own = F.when(text.rlike(OWN), F.regexp_replace(text, OWN, " ")).otherwise(text)
+    named = F.regexp_replace(F.regexp_replace(own, MAYBE_NAMES, f"{MAYBE}$0"), NAMES, f" {NAME}{value} ")
     units = F.regexp_replace(named, UNITS_AFTER, f" {UNIT}{value} ")
     return F.when(text.rlike("[0-9]"), F.regexp_replace(units, NUMBERS, f" {NUM}{value} ")).otherwise(named)
 
 
-def template(text: Column, names: str = NAMES) -> Column:
-    """The template's words, as an array of strings."""
-    return F.array_remove(F.split(F.lower(_replaced(text, "", names)), BETWEEN, -1), "")
+def template(text: Column) -> Column:
+    """The template's words, as an array of strings; a word that may be a name begins with MAYBE."""
+    return F.array_remove(F.split(F.lower(_replaced(text, "")), BETWEEN, -1), "")
 
 
-def slot_values(text: Column, names: str = NAMES) -> Column:
-    """What the placeholders stand for, in the template's order, by the same replacements; values hold no placeholder."""
-    found = F.regexp_extract_all(_replaced(text, f"$0{END}", names), F.lit(f"[{NUM}{NAME}{UNIT}]([^{END}]*+){END}"), F.lit(1))
-    return F.transform(found, lambda v: F.lower(F.trim(v)))
+def tokens(text: Column) -> Column:
+    """The template's words in the same order, placeholders followed by what they stand for and END."""
+    return F.regexp_extract_all(F.lower(_replaced(text, f"$0{END}")), F.lit(TOKEN), F.lit(0))
 
 
-def hashed(words: Column) -> Column:
-    """Each word's hash. Windows are made of these, so that a word's letters are read once."""
-    return F.transform(words, lambda w: F.xxhash64(w))
+def _value(token: Column) -> Column:
+    return F.trim(F.translate(token, f"{NUM}{NAME}{UNIT}{END}{MAYBE}", ""))
 
 
-def windows(words: Column, width: int | Column, form: Column) -> Column:
-    """Hashes of all windows of hashed words, apart for each form; a text of fewer words has none."""
-    n = F.lit(width) if isinstance(width, int) else width
-    at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    if isinstance(width, int):  # the hash of an array is that of its members in turn
-        return F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + (k - 1)) for k in range(width)], form))
-    return F.transform(at, lambda i: F.xxhash64(F.slice(words, i, n), form))
+def _word(token: Column) -> Column:
+    """The word of ``template`` for a token of ``tokens``."""
+    return F.when(token.endswith(END), F.substring(token, 1, 1)).otherwise(token)
 
 
-def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, width: int) -> DataFrame:
-    """(item_id, form, words, slots, w, win): items in both forms, with windows of ``width`` words or, for shorter items, of all their words."""
-    items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), text_of(f"`{text}`").alias("text"))
-    forms = [F.struct(F.lit(k).alias("form"), template(F.col("text"), names).alias("words"), slot_values(F.col("text"), names).alias("slots")) for k, names in enumerate(FORMS)]
-    items = items.select("item_id", F.explode(F.array(*forms)).alias("x")).select("item_id", "x.*").where(F.size("words") > 0)
-    items = items.where((F.col("form") == 0) | ((F.size("words") >= width) & (F.size("slots") * 2 <= F.size("words"))))
-    items = items.withColumn("w", F.least(F.size("words"), F.lit(width)))
-    items = items.withColumn("win", windows(hashed(F.col("words")), F.col("w"), F.col("form")))
-    # inside a sentence the first word of a quoted item looks like a name, where it is capitalised
-    other = F.concat(F.array(F.lit(NAME)), F.slice("words", 2, F.size("words")))
-    return items.withColumn("first_as_name", F.when((F.col("form") == 0) & (F.size("words") >= F.col("w")), F.xxhash64(F.slice(hashed(other), 1, F.col("w")), F.col("form"))))
+def slot_values(text: Column) -> Column:
+    """What the placeholders stand for, in the template's order."""
+    return F.transform(F.filter(tokens(text), lambda t: t.endswith(END)), _value)
+
+
+def as_words(words: Column) -> Column:
+    """Hashes of a template's words. Windows are made of these, so that a word's letters are read once."""
+    return F.transform(words, lambda w: F.when(w.startswith(MAYBE), F.xxhash64(F.substring(w, 2, 1 << 30))).otherwise(F.xxhash64(w)))
+
+
+def as_names(words: Column) -> Column:
+    """The same with marked words as names."""
+    return F.transform(words, lambda w: F.xxhash64(F.when(w.startswith(MAYBE), F.lit(NAME)).otherwise(w)))
+
+
+def window(hashes: Column, i: Column, width: int) -> Column:
+    """The hash of ``width`` hashes from place ``i`` on."""
+    return F.xxhash64(*[F.get(hashes, i + k) for k in range(width)])
+
+
+def rows_of(df: DataFrame, array: str, name: str) -> DataFrame:
+    """A row for each member of ``array``. ``explode`` would have the whole array made a second time, by the filter on its size that it adds below."""
+    return df.withColumn(name, F.explode_outer(array)).drop(*[array] if array != name else []).where(F.col(name).isNotNull())
+
+
+NO_PLACES = "array<int>"
+
+
+def starts(words: Column, width: int) -> Column:
+    """Places, from 0, of the windows of ``width`` words."""
+    return F.when(F.size(words) >= width, F.sequence(F.lit(0), F.size(words) - width)).otherwise(F.array().cast(NO_PLACES))
+
+
+def marked_starts(words: Column, width: int) -> Column:
+    """Places of those windows that hold a marked word."""
+    marks = F.filter(F.transform(words, lambda w, i: F.when(w.startswith(MAYBE), i)), lambda i: i.isNotNull())
+    near = F.transform(marks, lambda i: F.sequence(F.greatest(F.least(i, F.size(words) - width) - (width - 1), F.lit(0)), F.least(i, F.size(words) - width)))
+    return F.when(F.size(words) >= width, F.array_distinct(F.flatten(near))).otherwise(F.array().cast(NO_PLACES))
+
+
+def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, width: int, threshold: float) -> DataFrame:
+    """One row for each window of an item and each hash it is known by: item_id, n_slots, key, w, i, h, pos, slotted, kinds, values, places, strict, total, need.
+
+    ``key`` stands for (item_id, text, form), so that one id may have several texts. Form 0 is the template,
+    form 1 that of the text in lower case where it differs. Windows have ``width`` words or, for shorter items,
+    all of them. Marked words are names too in items with other words for a whole window and no more slots and
+    marks than those; the windows of others would fit by chance. An item that is placeholders only
+    (``strict``) has to be met with its own values.
+    """
+    items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), text_of(f"`{text}`").alias("text")).distinct()
+    items = items.select("item_id", F.xxhash64("text").alias("item"), tokens(F.col("text")).alias("t0"), tokens(F.lower("text")).alias("t1"))
+    bare = lambda t: F.transform(t, lambda x: F.translate(_word(x), MAYBE, ""))
+    forms = [F.struct(F.lit(k).alias("form"), F.col(f"t{k}").alias("tokens")) for k in (0, 1)]
+    items = rows_of(items.select("item_id", "item", F.when(bare("t0") == bare("t1"), F.array(forms[0])).otherwise(F.array(*forms)).alias("x")), "x", "x").select("item_id", "item", "x.*")
+    items = items.where(F.size("tokens") > 0).withColumn("key", F.xxhash64(F.col("item_id"), F.col("item"), F.col("form")))
+    items = items.withColumn("words", F.transform("tokens", _word))
+    kinds = F.transform("words", lambda w: F.when(w.isin(NUM, NAME, UNIT), F.lit(2)).when(w.startswith(MAYBE), F.lit(1)).otherwise(F.lit(0)))
+    items = items.withColumns({"kinds": kinds, "values": F.transform("tokens", lambda t: F.xxhash64(_value(t))), "a": as_words(F.col("words")), "b": as_names(F.col("words"))})
+    items = items.withColumns({"n": F.size("words"), "w": F.least(F.size("words"), F.lit(width))})
+    of_kind = lambda k: F.size(F.filter("kinds", lambda x: x == k))
+    named = (F.col("form") == 0) & (of_kind(0) >= width) & (of_kind(1) + of_kind(2) <= of_kind(0))
+    items = items.withColumns({"n_slots": of_kind(2), "named": named, "strict": of_kind(2) == F.col("n"), "places": F.col("n") - F.col("w") + 1})
+    part = lambda c: F.slice(c, F.col("i") + 1, F.col("w"))
+    # the hash of an array is that of its members in turn, as in ``window``
+    rows = rows_of(items.withColumn("all", F.sequence(F.lit(0), F.col("n") - F.col("w"))), "all", "i")
+    rows = rows.select("item_id", "n_slots", "key", "w", "i", "places", "strict", "named", part("kinds").alias("kinds"), part("values").alias("values"), F.xxhash64(part("a")).alias("pos"), F.xxhash64(part("b")).alias("other"))
+    known_by = F.when(F.col("named"), F.array_distinct(F.array("pos", "other"))).otherwise(F.array("pos"))
+    rows = rows_of(rows.withColumn("hashes", known_by), "hashes", "h").drop("other", "named")
+    rows = rows.withColumn("slotted", F.array_contains("kinds", 2) | (F.col("h") != F.col("pos")))
+    totals = rows.groupBy("key").agg(F.count_distinct("pos").alias("total"))
+    return rows.join(totals, "key").withColumn("need", F.col("total") * F.lit(threshold))
+
+
+def _dealt(rows: DataFrame, side: DataFrame, on: list[str], small: bool) -> DataFrame:
+    """``rows`` joined with windows of the benchmark: by a broadcast, or by an exchange with each key salted."""
+    if small:
+        return rows.join(F.broadcast(side), on)
+    salted = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.col("text_hash"), F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"]).drop("salt")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -84,86 +155,90 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     Coverage is the share of the item's distinct windows that the document holds. Null and empty texts and
     items without words leak nothing; items shorter than a window are looked for as one window. Repeated
-    documents and null ids are told apart by text only and give one row per pair of id, text and item.
-    Empty tables give no rows; further columns are ignored.
+    documents and null ids are told apart by text only and give one row per pair of id, text and item; an
+    item id with several texts is leaked with any of them. Whole texts are read, however long, and time is linear in
+    their words and in the windows that fit. Empty tables give no rows; further columns are ignored.
     """
-    items = cut(benchmark_windows(benchmark, item_id, item_text, width))
-    # repeated item ids are one item: its windows are those of all its rows, by hash
-    first = F.struct(F.get("win", F.lit(0)).alias("pos"), F.col("first_as_name").alias("h"))
-    bench = items.select("item_id", "form", F.explode(F.concat(F.transform("win", lambda h: F.struct(h.alias("pos"), h.alias("h"))), F.array(first))).alias("x")).select("item_id", "form", "x.pos", "x.h").distinct()
-    slots = items.groupBy("item_id", "form").agg(F.max(F.size("slots")).alias("form_slots"))
-    own = items.where("form = 0").groupBy("item_id").agg(F.max(F.size("slots")).alias("n_slots"))
-    totals = bench.groupBy("item_id", "form").agg(F.count_distinct("pos").alias("total")).join(slots, ["item_id", "form"]).join(own, "item_id")
-    found = cut(bench.join(totals, ["item_id", "form"]))
-    small = found.count() <= BROADCAST_WINDOWS
-    lengths = sorted((r.form, r.w) for r in items.select("form", "w").distinct().collect())  # at most ``width`` values a form
+    bench = cut(benchmark_windows(benchmark, item_id, item_text, width, threshold))
+    small = bench.count() <= BROADCAST_WINDOWS
+    lengths = sorted(r.w for r in bench.select("w").distinct().collect())  # at most ``width`` values
     src = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text}`").alias("text"))
-    src = src.select("id", F.xxhash64("text").alias("text_hash"), *[hashed(template(F.col("text"), names)).alias(f"words_{k}") for k, names in enumerate(FORMS)])
-    win = F.concat(*[windows(F.col(f"words_{k}"), w, F.lit(k)) for k, w in lengths]) if lengths else F.array().cast("array<bigint>")
-    rows = src.select("id", "text_hash", F.explode(F.array_distinct(win)).alias("h"))
-    keys = ["item_id", "form", "total", "form_slots", "n_slots"]
-    side = found.select("h", "pos", *keys)
-    hits = rows.join(F.broadcast(side) if small else side, "h")
-    pairs = hits.groupBy("id", "text_hash", *keys).agg(F.count_distinct("pos").alias("got"))
-    pairs = pairs.select("id", "text_hash", "item_id", "form", (F.col("got") / F.col("total")).alias("coverage"), "n_slots", "form_slots").where(F.col("coverage") >= threshold)
-    pairs = cut(pairs)
-    plain = pairs.where("form_slots = 0").drop("form", "form_slots")
-    slotted = pairs.where("form_slots > 0").drop("form_slots")
-    if slotted.limit(1).count():
-        plain = plain.union(_consistent(docs, items, slotted, id_col, text, threshold))
-    plain = plain.groupBy("id", "text_hash", "item_id").agg(F.max("coverage").alias("coverage"), F.max("n_slots").alias("n_slots"))
-    return plain.select(F.col("id").alias(id_col), "text_hash", "item_id", "coverage", "n_slots")
-
-
-def _consistent(docs: DataFrame, items: DataFrame, pairs: DataFrame, id_col: str, text: str, threshold: float) -> DataFrame:
-    """The pairs whose slots agree along some alignment. Only their documents' texts are read again."""
-    src = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(f"`{text}`").alias("text"))
-    keyed = src.withColumn("text_hash", F.xxhash64("text"))
-    want = pairs.select(F.col("id").alias("pid"), F.col("text_hash").alias("ph"), "item_id", "form", "coverage", "n_slots")
-    # only the texts of candidates are exchanged, each once
-    wanted = want.select("pid", "ph").distinct()
-    few = F.broadcast(wanted) if pairs.count() <= BROADCAST_WINDOWS else wanted
-    keyed = keyed.join(few, F.col("id").eqNullSafe(F.col("pid")) & (F.col("text_hash") == F.col("ph")), "left_semi").dropDuplicates(["id", "text_hash"])
-    both = keyed.join(want, F.col("id").eqNullSafe(F.col("pid")) & (F.col("text_hash") == F.col("ph")))
-    own = items.select("item_id", "form", F.col("words").alias("iw"), F.col("slots").alias("is"), F.col("w"), F.col("win").alias("ih"))
-    # each step is written out: its columns are used many times over, and candidates are few beside the corpus
-    in_form = lambda of: F.when(F.col("form") == 0, of(F.col("text"), FORMS[0])).otherwise(of(F.col("text"), FORMS[1]))
-    both = cut(both.join(own, ["item_id", "form"]).select("id", "text_hash", "item_id", "form", "coverage", "n_slots", "iw", "is", "w", "ih", in_form(template).alias("dw"), in_form(slot_values).alias("ds")))
-    both = both.withColumn("hw", hashed(F.col("dw")))
-    both = both.withColumns({"dh": windows(F.col("hw"), F.col("w"), F.col("form")), "dp": _places(F.col("dw")), "ip": _places(F.col("iw"))})
-    # alignments: where a window of the document is one of the item's, the difference of their places
-    numbered = F.transform("dh", lambda x, j: F.struct(x.alias("x"), j.alias("j")))
-    both = cut(both.withColumn("own", F.filter(numbered, lambda s: F.array_contains("ih", s["x"]))))
-    diagonals = F.array_distinct(F.flatten(F.transform("ih", lambda h, i: F.transform(F.filter("own", lambda s: s["x"] == h), lambda s: s["j"] - i))))
-    both = cut(both.withColumn("diagonals", diagonals).drop("own"))
-    fits = lambda d: F.size(F.filter(F.transform("ih", lambda h, i: F.get("dh", i + d) == h), lambda ok: F.coalesce(ok, F.lit(False)))) >= F.size("ih") * F.lit(threshold)
-
-    def slots_along(d: Column) -> Column:
-        """(kind, item's value, document's value) of the item's slots that meet a slot of the same kind on this alignment."""
-        met = F.transform("ip", lambda p, k: F.struct(F.get("iw", p).alias("kind"), F.get("is", k).alias("a"), F.get("ds", F.array_position("dp", p + d).cast("int") - 1).alias("b"), (F.coalesce(F.get("dw", p + d), F.lit("")) == F.get("iw", p)).alias("same")))
-        return F.array_distinct(F.transform(F.filter(met, lambda s: s["same"]), lambda s: F.struct(s["kind"], s["a"], s["b"])))
-
-    def agrees(pairs: Column) -> Column:
-        firsts = F.array_distinct(F.transform(pairs, lambda s: F.struct(s["kind"], s["a"])))
-        seconds = F.array_distinct(F.transform(pairs, lambda s: F.struct(s["kind"], s["b"])))
-        return (F.size(firsts) == F.size(pairs)) & (F.size(seconds) == F.size(pairs))
-
-    both = cut(both.select("id", "text_hash", "item_id", "coverage", "n_slots", F.transform("diagonals", lambda d: F.struct(fits(d).alias("fits"), slots_along(d).alias("slots"))).alias("along")))
-    straight = F.filter("along", lambda a: a["fits"])
-    both = both.withColumns({"straight": straight, "whole": F.array_distinct(F.flatten(F.transform("along", lambda a: a["slots"])))})
-    both = cut(both.drop("along"))
-    ok = F.exists("straight", lambda a: agrees(a["slots"])) | ((F.size("straight") == 0) & agrees(F.col("whole")))
-    return both.where(ok).select("id", "text_hash", "item_id", "coverage", "n_slots").distinct()
-
-
-def _places(words: Column) -> Column:
-    """Zero-based places of the placeholders."""
-    marked = F.transform(words, lambda w, i: F.when(w.isin(NUM, NAME, UNIT), i).otherwise(F.lit(-1)))
-    return F.filter(marked, lambda i: i >= 0)
+    words = src.select("id", F.xxhash64("text").alias("text_hash"), template(F.col("text")).alias("words")).withColumns({"a": as_words(F.col("words")), "b": as_names(F.col("words"))})
+    one = lambda c, w: lambda i: window(F.col(c), i, w)
+    made = [F.transform(of(F.col("words"), w), one(c, w)) for w in lengths for c, of in (("a", starts), ("b", marked_starts))]
+    win = F.array_distinct(F.concat(*made)) if made else F.array().cast("array<bigint>")
+    rows = rows_of(words.select("id", "text_hash", win.alias("win")), "win", "h")
+    hits = _dealt(rows, bench.select("h", "pos", "slotted", "key", "total", "need"), ["h"], small)
+    # an item's windows bound these sets
+    held = F.size(F.collect_set("pos"))
+    sure = F.size(F.collect_set(F.when(~F.col("slotted"), F.col("pos"))))
+    pairs = hits.groupBy("id", "text_hash", "key", "total", "need").agg(held.alias("held"), sure.alias("sure")).where("held >= need - 1e-9")
+    pairs = cut(pairs.select("id", "text_hash", "key", (F.col("held") / F.col("total")).alias("coverage"), (F.col("sure") >= F.col("need") - 1e-9).alias("sure")))
+    found = pairs.where("sure").drop("sure")
+    open_pairs = pairs.where("not sure").drop("sure")
+    if open_pairs.limit(1).count():
+        found = found.union(_consistent(src, bench, open_pairs, lengths, threshold, small))
+    of = bench.groupBy("key", "item_id").agg(F.max("n_slots").alias("n_slots"))
+    found = found.join(F.broadcast(of) if small else of, "key")
+    found = found.groupBy("id", "text_hash", "item_id").agg(F.max("coverage").alias("coverage"), F.max("n_slots").alias("n_slots"))
+    return found.select(F.col("id").alias(id_col), "text_hash", "item_id", "coverage", "n_slots")
+
+
+def _kept(rows: DataFrame, side: DataFrame, on: list[str], small: bool) -> DataFrame:
+    """The rows whose columns ``on``, null or not, are in ``side``."""
+    named = side.select(*[F.col(c).alias(f"__{c}") for c in on])
+    same = F.lit(True)
+    for c in on:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return rows.join(F.broadcast(named) if small else named, same, "left_semi")
+
+
+def _consistent(src: DataFrame, bench: DataFrame, pairs: DataFrame, lengths: list[int], threshold: float, small: bool) -> DataFrame:
+    """The pairs whose slots agree. Only the texts of their documents are read again, each once.
+
+    An alignment is a difference of places. If the windows that fit along one are a share ``threshold`` of the item's, the
+    slots of one such alignment have to agree; if there is none (words were put in or left out), each window follows the
+    alignment that most windows lie on, and all their slots together have to agree.
+    """
+    want = pairs.select("id", "text_hash").distinct()
+    few = pairs.count() <= BROADCAST_WINDOWS
+    keyed = _kept(src.withColumn("text_hash", F.xxhash64("text")), want, ["id", "text_hash"], few).dropDuplicates(["id", "text_hash"])
+    words = keyed.select("id", "text_hash", tokens(F.col("text")).alias("tokens")).withColumn("words", F.transform("tokens", _word))
+    words = words.withColumns({"values": F.transform("tokens", lambda t: F.xxhash64(_value(t))), "a": as_words(F.col("words")), "b": as_names(F.col("words"))})
+    one = lambda c, w: lambda j: F.struct(F.lit(w).alias("w"), j.alias("j"), window(F.col(c), j, w).alias("h"), F.slice("values", j + 1, w).alias("theirs"))
+    made = [F.transform(of(F.col("words"), w), one(c, w)) for w in lengths for c, of in (("a", starts), ("b", marked_starts))]
+    rows = rows_of(words.select("id", "text_hash", F.concat(*made).alias("x")), "x", "x").select("id", "text_hash", "x.*")
+    side = bench.select("h", "w", "key", "i", "kinds", "values", "places", "strict")
+    met = _dealt(rows, side, ["h", "w"], small)
+    pair = ["id", "text_hash", "key"]
+    met = _kept(met, pairs, pair, few)
+    slots = F.filter(F.transform("kinds", lambda k, n: F.struct(k.alias("k"), F.get("values", n).alias("a"), F.get("theirs", n).alias("b"))), lambda s: s["k"] > 0)
+    met = cut(met.select("id", "text_hash", "key", "i", (F.col("j") - F.col("i")).alias("d"), "places", "strict", F.transform(slots, lambda s: F.struct(s["a"], s["b"])).alias("slots")))
+    # along one alignment each place of the item has one window, so an item's length bounds these sets
+    along = met.groupBy(*pair, "d", "places", "strict").agg(F.size(F.collect_set("i")).alias("n"), _joined(F.collect_set("slots")).alias("slots"))
+    along = cut(along.withColumns({"straight": F.col("n") >= F.col("places") * F.lit(threshold) - 1e-9, "agrees": _agrees("slots", "strict")}).drop("slots"))
+    told = along.groupBy(*pair).agg(F.max("straight").alias("straight"), F.max(F.col("straight") & F.col("agrees")).alias("ok"))
+    bent = told.where("not straight").select(*pair)
+    weight = along.select(*[F.col(c).alias(f"__{c}") for c in (*pair, "d")], "n")
+    lies_on = F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__text_hash")) & (F.col("key") == F.col("__key")) & (F.col("d") == F.col("__d"))
+    best = _kept(met, bent, pair, False).join(weight, lies_on)
+    best = best.groupBy(*pair, "strict", "i").agg(F.max_by("slots", F.struct("n", -F.col("d"))).alias("slots"))
+    best = best.groupBy(*pair, "strict").agg(_joined(F.collect_set("slots")).alias("slots")).where(_agrees("slots", "strict"))
+    return _kept(pairs, told.where("ok").select(*pair).union(best.select(*pair)), pair, False)
+
+
+def _joined(sets: Column) -> Column:
+    return F.array_distinct(F.flatten(sets))
+
+
+def _agrees(slots: str, strict: str) -> Column:
+    """Whether distinct (item's value, document's value) give each value of the item one of the document; its own where ``strict``."""
+    firsts = F.array_distinct(F.transform(slots, lambda s: s["a"]))
+    return (F.size(firsts) == F.size(slots)) & (~F.col(strict) | F.forall(slots, lambda s: s["a"] == s["b"]))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """``docs`` without the rows that leak an item; columns stay as they are."""
+    """``docs`` without the rows that leak an item, by ``find_leaks``; columns and other rows stay as they are, null and empty texts too."""
     leaks = find_leaks(docs, benchmark, id_col, text, **how)
     keys = cut(leaks.select(F.col(f"`{id_col}`").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
     few = keys.count() <= BROADCAST_WINDOWS

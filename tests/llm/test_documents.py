@@ -186,6 +186,8 @@ def test_slots_follow_the_template(spark):
     words, values = decontaminate.template(F.coalesce("text", F.lit(""))), decontaminate.slot_values(F.coalesce("text", F.lit("")))
     for r in df.select(words.alias("words"), values.alias("values")).collect():
         assert sum(w in (decontaminate.NUM, decontaminate.NAME, decontaminate.UNIT) for w in r["words"]) == len(r["values"])
+    both = df.select(words.alias("words"), F.transform(decontaminate.tokens(F.coalesce("text", F.lit(""))), decontaminate._word).alias("again"))
+    assert both.where("words <> again").count() == 0
     assert df.limit(2).select(values.alias("v")).collect() == [(["5", "kg"],), (["windows", "10", "3", "km"],)]
 
 
@@ -204,6 +206,111 @@ def test_leaks_with_other_names_at_sentence_starts(spark):
     assert leaks(spark, docs, [item, "Alice\nBob\nCarol\nDave\nEve", "How are you"]) == {(k, 0) for k in (0, 1, 2, 4, 5)}
     assert leaks(spark, ["Where are you", "Peter\nPaul\nMary\nJohn\nMax", "how are you"], ["How are you", "Alice\nBob\nCarol\nDave\nEve"]) == {(2, 0)}
 
+SENTENCES = [
+    "{N} has {n} {f} and gives {n} {f} to {N}.", "Then {N} walks {n}{u} to the shop.", "How many {f} does {N} have now?", "{N} sells {n} {u} of {f} for {n} dollars, says {N}.",
+    "On the way {N} meets {N} and they lose {n} {f}.", "they count {n} {f} again",
+]
+
+
+def word_problem(rng, sentences):
+    fill = {"N": ["Tom", "Sara", "Anna", "Max"], "n": ["2", "3", "7", "12", "3.5"], "f": ["apples", "pears"], "u": ["km", "kg", "miles"]}
+    return " ".join(re.sub(r"\{(\w)\}", lambda m: rng.choice(fill[m[1]]), t) for t in sentences)
+
+
+def plain_template(text):
+    """(word, other word, value) of each token of an ASCII text, by a walk over its pieces."""
+    out, gap = [], ""
+    pieces = re.findall(r"[0-9]+(?:\.[0-9]+)?|[A-Za-z]+|[^0-9A-Za-z]+", text)
+    for i, p in enumerate(pieces):
+        capital = lambda w: w[0].isupper() and w[1:2].islower()
+        before, after = (pieces[i - 1] if i else ""), pieces[i + 1 : i + 3]
+        if p[0].isdigit():
+            out.append(("#", "#", p))
+        elif not p.isalpha():
+            gap = p
+            continue
+        elif out and out[-1][0] == "#" and gap in ("", " ") and p in decontaminate.UNITS.split("|"):
+            out.append(("%", "%", p))
+        elif capital(p) and before == " " and i > 1 and pieces[i - 2].isalpha() and capital(pieces[i - 2]):
+            out[-1] = ("@", "@", f"{out[-1][2]} {p.lower()}")  # a run is one name
+        elif capital(p) and (re.search(r"[a-z0-9,;] $", "".join(pieces[max(0, i - 2) : i])) or len(after) == 2 and after[0] == " " and after[1].isalpha() and capital(after[1])):
+            out.append(("@", "@", p.lower()))
+        else:
+            out.append((p.lower(), "@" if capital(p) else p.lower(), p.lower()))
+        gap = ""
+    return out
+
+
+def plain_leak(doc, item, width=5, threshold=0.8):
+    """Whether a document leaks an item, by brute force over all alignments."""
+    for form in (item, item.lower()):
+        t, d = plain_template(form), plain_template(doc)
+        if form != item and [x[0] for x in t] == [x[0] for x in plain_template(item)]:
+            continue
+        w = min(width, len(t))
+        places = range(len(t) - w + 1)
+        slots, marks = sum(x[0] in "#@%" for x in t), sum(x[0] != x[1] for x in t)
+        named = form == item and len(t) - slots - marks >= width and slots + marks <= len(t) - slots - marks
+        known = [{tuple(x[0] for x in t[i : i + w])} | ({tuple(x[1] for x in t[i : i + w])} if named else set()) for i in places]
+        theirs = [{tuple(x[c] for x in d[j : j + w]) for c in (0, 1)} for j in range(len(d) - w + 1)]
+        have = set().union(*theirs) if theirs else set()
+        distinct = {tuple(x[0] for x in t[i : i + w]): k for i, k in zip(places, known)}
+        if not t or sum(any(h in have for h in set().union(*(known[i] for i in places if tuple(x[0] for x in t[i : i + w]) == p))) for p in distinct) < threshold * len(distinct) - 1e-9:
+            continue
+        fits = {}
+        for i in places:
+            for j, h in enumerate(theirs):
+                if known[i] & h:
+                    fits.setdefault(j - i, set()).add(i)
+        told = lambda i, k: {(t[i + n][2], d[i + k + n][2]) for n in range(w) if t[i + n][0] != t[i + n][1] or t[i + n][0] in "#@%"}
+        agrees = lambda s: len({a for a, _ in s}) == len(s)
+        straight = [k for k, own in fits.items() if len(own) >= threshold * len(places) - 1e-9]
+        sure = {p for p in distinct if not set(p) & set("#@%") and p in have}
+        best = {i: max((k for k in fits if i in fits[k]), key=lambda k: (len(fits[k]), -k)) for i in places if any(i in o for o in fits.values())}
+        if len(sure) >= threshold * len(distinct) or any(agrees(set().union(*(told(i, k) for i in fits[k]))) for k in straight) or not straight and agrees(set().union(*(told(i, k) for i, k in best.items()))):
+            return True
+    return False
+
+
+def test_reparameterised_items_of_brute_force(spark):
+    rng = random.Random(12)
+    items, docs = [], []
+    for _ in range(14):
+        shape = rng.sample(SENTENCES, rng.randint(2, 4))
+        items.append(word_problem(rng, shape))
+        for _ in range(5):
+            part = rng.choice([items[-1], word_problem(rng, shape), word_problem(rng, shape), items[-1].lower(), re.sub("[0-9]+", lambda m: {"2": "4", "3": "4"}.get(m[0], "9"), items[-1])])
+            docs.append(f"{prose(rng, rng.randint(0, 9))}{rng.choice([': ', '. ', ', ', chr(10)])}{part} {prose(rng, 5)}")
+    want = {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if plain_leak(doc, item)}
+    assert 30 < len(want) < len(docs) * 3
+    assert leaks(spark, docs, items) == want
+
+
+def test_equal_values_stay_equal(spark):
+    item = "Tom has 3 apples and 5 pears, then he buys 7 more apples, eats 5 of them and walks 5km to the market for 20 dollars."
+    docs = [item.replace("3", "4").replace("5", "4").replace("7", "9"), item.replace("5km", "7 km"), item.replace("5 pears", "6 pears"), item.replace("Tom", "Sara").replace("km", " miles")]
+    assert leaks(spark, docs, [item]) == {(0, 0), (3, 0)}
+
+
+def test_leaks_in_lower_case_and_with_words_between(spark):
+    words = ITEM.split()
+    assert leaks(spark, [ITEM.lower(), ITEM.upper(), " ".join([*words[:12], "really", *words[12:]])], [ITEM], threshold=0.6) == {(0, 0), (1, 0), (2, 0)}
+
+
+def test_leaks_of_a_long_number_list(spark):
+    import time
+
+    numbers = " ".join(str(7 * i) for i in range(20_000))
+    item = "Please sort these numbers in order now: " + " ".join(str(i) for i in range(30))
+    began = time.time()
+    assert leaks(spark, [numbers, f"Please sort these numbers in order now: {numbers}"], [item]) == {(1, 0)}
+    assert time.time() - began < 90
+
+
+def test_leaks_by_an_exchange(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    test_leaks(spark)
+
 
 def test_short_items(spark):
     assert leaks(spark, ["a b c d", "x a b c y", "a b", "c b a"], ["a b c"]) == {(0, 0), (1, 0)}
@@ -366,6 +473,47 @@ def test_shards(spark, copies):
     assert {(r.doc_id, r.shard, r.slot) for r in again} == {(r.doc_id, r.shard, r.slot) for r in got}
 
 
+def test_shards_of_equal_rows(spark):
+    rows = [(1, "the same text of all these rows " * 8)] * 500 + [(None, "null ids and one text")] * 300 + [(10 + i, prose(random.Random(i), 20)) for i in range(500)]
+    got = shards_of(spark.createDataFrame(rows, DOCS).repartition(5), shards=40)
+    sizes, slots = Counter(), {}
+    for r in got:
+        sizes[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    assert set(sizes) == set(range(40)) and max(sizes.values()) - min(sizes.values()) <= 2 * max(r.size for r in got)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_shards_keep_columns_of_any_name(spark):
+    names = ["__part", "__before", "__cuts", "__offset", "__nth", "__k1", "__k2", "__v", "__k1a"]
+    df = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), *[(F.col("id") * 7 + k).alias(n) for k, n in enumerate(names)])
+    got = sharding.shard_by_bytes(df, 4)
+    assert got.columns == [*df.columns, "size", "shard", "slot"]
+    assert sorted(got.select(df.columns).collect()) == sorted(df.collect())
+
+
+def plain_shards(rows, shards):
+    """Shard of each row by cumulative bytes over the order of keys, from Spark's own hashes."""
+    total, at, out = sum(s for *_, s in rows), 0, {}
+    for k1, k2, d, s in sorted(rows):
+        out[d] = at * shards / total
+        at += s
+    return out
+
+
+def test_shards_of_brute_force(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, prose(rng, rng.randint(1, 40))) for i in range(2000)], DOCS)
+    keys = df.select(F.xxhash64("text"), F.xxhash64("doc_id", F.lit(1)), "doc_id", (F.octet_length("text") + 16)).collect()
+    got = {r.doc_id: r for r in shards_of(df, shards=10)}
+    want = plain_shards([tuple(k) for k in keys], 10)
+    # a boundary may be off its ideal place by the tolerance, or by one row
+    assert all(abs(want[d] - r.shard - 0.5) <= 0.5 + 0.02 for d, r in got.items())
+    order = sorted(got, key=lambda d: (got[d].shard, got[d].slot))
+    assert order == [k[2] for k in sorted(keys)]
+
+
 def test_shards_odd_rows(odd, none):
     got = sharding.shard_by_bytes(odd, 4)
     rows = got.collect()
