@@ -128,6 +128,20 @@ def splitters(keys: DataFrame, shards: int, tolerance: float, part_bytes: int, m
     return [(_s(a ^ (1 << 63)) if a < 1 << 64 else None, _s(b ^ (1 << 63))) for a, b in edges], shard_of, first
 
 
+def equal_rows(keys: DataFrame, shards: int, tolerance: float) -> DataFrame | None:
+    """(k1, k2) of the rows with equal keys that outweigh the tolerance together, at most shards / tolerance of them; None if there are none."""
+    bins = _bins(keys, 0, [])
+    slack = tolerance * sum(b[2] for b in bins) / shards
+    heavy = [(_s(b[0]),) for b in bins if b[2] > slack and b[3] > 1]
+    if not heavy:
+        return None
+    top = F.shiftrightunsigned(F.col("k1").bitwiseXOR(F.lit(LEAST)), 64 - FIRST_BITS)
+    side = keys.sparkSession.createDataFrame(heavy, "__top bigint")
+    groups = keys.join(F.broadcast(side), top == F.col("__top"), "left_semi").groupBy("k1", "k2").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    found = cut(groups.where((F.col("bytes") > slack) & (F.col("n") > 1)).select("k1", "k2"))
+    return found if found.limit(1).count() else None
+
+
 def _after(v1: int, v2: int, b1: int, b2: int) -> tuple[int, int]:
     """The bin after (v1, v2)."""
     if b2 and v2 + 1 < 1 << b2:
@@ -135,20 +149,31 @@ def _after(v1: int, v2: int, b1: int, b2: int) -> tuple[int, int]:
     return v1 + 1, 0
 
 
-def shard_by_bytes(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text: str = "text", tolerance: float = 0.002, part_bytes: int = 256 << 20, max_parts: int = 8192) -> DataFrame:
+def shard_by_bytes(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text: str = "text", tolerance: float = 0.002, part_bytes: int = 256 << 20, max_parts: int = 32768) -> DataFrame:
     """``df`` with ``size`` (bytes plus 16), ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard).
 
     Shards have near-equal bytes: each boundary is within ``tolerance`` of a shard's bytes of its ideal
     place, or lies between the two rows nearest to it. Equal texts stay together unless a boundary has to
-    cut their group; rows with equal text and id are never cut, so a group of such rows larger than a
-    shard makes the law looser by its size. Null ids and null or empty texts are rows like any other;
+    cut their group. Rows with equal text and id, or equal text and null ids, are interchangeable: where they
+    outweigh the tolerance they are cut like other rows, in an order of their own. Null ids and null or empty
+    texts, however long, are rows like any other;
     with fewer rows than shards some shards are empty; an empty table gives no rows. Columns of ``df``
     named size, shard or slot are replaced.
     """
     k1, k2, v = scratch(df, "__k1"), scratch(df, "__k2"), scratch(df, "__v")
     rows = df.drop("size", "shard", "slot")
-    hashes = {k1: F.xxhash64(text_of(f"`{text}`")), k2: F.xxhash64(F.col(f"`{id_col}`"), F.lit(1))}
-    keys = cut(rows.select(hashes[k1].alias("k1"), hashes[k2].alias("k2"), text_size(text).alias("size")))
+    before, cuts, part, nth, offset = (scratch(df, f"__{c}") for c in ("before", "cuts", "part", "nth", "offset"))
+    keyed = rows.withColumns({k1: F.xxhash64(text_of(f"`{text}`")), k2: F.xxhash64(F.col(f"`{id_col}`"), F.lit(1)), "size": text_size(text)})
+    slim = [F.col(k1).alias("k1"), F.col(k2).alias("k2"), "size"]
+    keys = cut(keyed.select(*slim))
+    alike = equal_rows(keys, shards, tolerance)
+    if alike is not None:
+        # rows of one text and id that outweigh the tolerance are told apart by a number; only they are written
+        same = F.broadcast(alike.select(F.col("k1").alias("__k1a"), F.col("k2").alias("__k2a")))
+        of = (F.col(k1) == F.col("__k1a")) & (F.col(k2) == F.col("__k2a"))
+        hot = cut(keyed.join(same, of, "left_semi")).withColumn(k2, F.xxhash64(k2, F.monotonically_increasing_id()))
+        keyed = keyed.join(same, of, "left_anti").union(hot)
+        keys = cut(keyed.select(*slim))
     edges, shard_of, first = splitters(keys, shards, tolerance, part_bytes, max_parts)
     edges = [e for e in edges if e[0] is not None]
     spark = df.sparkSession
@@ -156,26 +181,25 @@ def shard_by_bytes(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text
     by_top: dict[int, list[tuple[int, int]]] = {}
     for a, b in edges:
         by_top.setdefault(((a ^ LEAST) & ((1 << 64) - 1)) >> (64 - FIRST_BITS), []).append((a, b))
-    told, before = [], 0
+    told, below = [], 0
     for t in range(1 << FIRST_BITS):
         own = by_top.get(t, [])
-        told.append((t, before, own))
-        before += len(own)
-    told = spark.createDataFrame(told, f"`{v}` bigint, __before int, __cuts array<struct<a: bigint, b: bigint>>")
+        told.append((t, below, own))
+        below += len(own)
+    told = spark.createDataFrame(told, f"`{v}` bigint, `{before}` int, `{cuts}` array<struct<a: bigint, b: bigint>>")
     starts = {s: first[shard_of.index(s)] for s in set(shard_of)}
-    offsets = spark.createDataFrame([(p, s, first[p] - starts[s]) for p, s in enumerate(shard_of)], "__part int, shard int, __offset bigint")
-    part = F.col("__before") + F.size(F.filter("__cuts", lambda c: (c["a"] < F.col(k1)) | ((c["a"] == F.col(k1)) & (c["b"] <= F.col(k2)))))
+    offsets = spark.createDataFrame([(p, s, first[p] - starts[s]) for p, s in enumerate(shard_of)], f"`{part}` int, shard int, `{offset}` bigint")
+    place = F.col(before) + F.size(F.filter(cuts, lambda c: (c["a"] < F.col(k1)) | ((c["a"] == F.col(k1)) & (c["b"] <= F.col(k2)))))
     placed = (
-        rows.withColumns(hashes | {"size": text_size(text)})
-        .withColumn(v, F.shiftrightunsigned(F.col(k1).bitwiseXOR(F.lit(LEAST)), 64 - FIRST_BITS))
+        keyed.withColumn(v, F.shiftrightunsigned(F.col(k1).bitwiseXOR(F.lit(LEAST)), 64 - FIRST_BITS))
         .join(F.broadcast(told), v)
-        .withColumn("__part", part)
-        .drop("__before", "__cuts", v)
+        .withColumn(part, place)
+        .drop(before, cuts, v)
     )
-    dealt = placed.repartitionById(len(shard_of), F.col("__part")).sortWithinPartitions(k1, k2)
+    dealt = placed.repartitionById(len(shard_of), F.col(part)).sortWithinPartitions(k1, k2)
     # partition p holds exactly part p, so a row's number in its partition is its number in its part
-    dealt = dealt.withColumn("__nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    out = dealt.join(F.broadcast(offsets), "__part").withColumn("slot", F.col("__nth") + F.col("__offset"))
+    dealt = dealt.withColumn(nth, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    out = dealt.join(F.broadcast(offsets), part).withColumn("slot", F.col(nth) + F.col(offset))
     return out.select(*[f"`{c}`" for c in rows.columns], "size", "shard", "slot")
 
 
