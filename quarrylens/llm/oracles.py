@@ -20,8 +20,8 @@ ORACLES = {
         t as (select sum(n) as n, sum(sqrt(n)) as w from s),
         r as (select source, sqrt(s.n) * t.n / t.w / s.n as rate from s, t),
         k as (select source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) over (partition by source order by k) as cdf from r, (select unnest(range(0, 300)) as k)),
-        u as (select doc_id, source, md5(coalesce(text, '')) as d, ('0x' || substr(md5('7:' || coalesce(doc_id::varchar, '~') || ':' || md5(coalesce(text, ''))), 1, 13))::bigint / 4503599627370496.0 as u from documents),
-        c as (select doc_id, u.source, d, count(*) filter (cdf <= u)::int as n_copies from u join k on u.source is not distinct from k.source group by all),
+        u as (select doc_id, source, text, md5(coalesce(text, '')) as d, ('0x' || substr(md5('7:' || coalesce(doc_id::varchar, '~') || ':' || md5(coalesce(text, ''))), 1, 13))::bigint / 4503599627370496.0 as u from documents),
+        c as (select doc_id, u.source, text, d, count(*) filter (cdf <= u)::int as n_copies from u join k on u.source is not distinct from k.source group by all),
         x as (select *, unnest(range(0, n_copies))::int as replica from c)
-        select doc_id, source, n_copies, replica, ('0x' || substr(md5('8:' || coalesce(doc_id::varchar, '~') || ':' || d || ':' || replica), 1, 13))::bigint / 4503599627370496.0 as shuffle_key from x""",
+        select doc_id, source, text, n_copies, replica, ('0x' || substr(md5('8:' || coalesce(doc_id::varchar, '~') || ':' || d || ':' || replica), 1, 13))::bigint / 4503599627370496.0 as shuffle_key from x""",
 }

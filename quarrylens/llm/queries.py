@@ -86,10 +86,10 @@ def op9_arrow_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources mixed to the square root of their shares by Poisson replication."""
+    """Documents, with their texts, mixed to the square root of their sources' shares by Poisson replication."""
     from .mixing import mix
 
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "n_copies", "replica", "shuffle_key")
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "text", "n_copies", "replica", "shuffle_key")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
