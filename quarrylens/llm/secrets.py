@@ -4,7 +4,7 @@ Beside the plain patterns, a text that names a sensitive target at all is read a
 configuration: a small lexer yields names, literals, operators and line ends; assignments become pairs
 of a name and an expression of literals and names joined by ``+``, ``.`` or ``..``; names bound to
 constants are propagated to later uses; and the literals that reach a target are scored by the target's
-name and their own shape. Literals at or over the threshold are spans of kind ``literal``.
+name and their own shape. Lines of configuration bind values without quotes too. Literals at or over the threshold are spans of kind ``literal``.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -31,11 +32,13 @@ RANKS = {"assign": 0, "access": 1, "hex": 2, "literal": 3}
 SENSITIVE = {"password": 0.6, "passwd": 0.6, "passphrase": 0.6, "pwd": 0.5, "secret": 0.6, "token": 0.5, "apikey": 0.6, "api_key": 0.6, "credential": 0.5, "private_key": 0.6, "privatekey": 0.6, "auth": 0.3, "signing_key": 0.5, "client_secret": 0.6, "access_key": 0.6, "connection_string": 0.5}
 #: Whole literals that stand for a secret without being one.
 PLACEHOLDERS = {"changeme", "password", "secret", "token", "none", "null", "true", "false", "example", "todo", "xxx", "your-token", "undefined", "test"}
-LEXEME = re.compile(
-    r"""(?P<skip>(?://|\#)[^\n]*|[ \t\r]+)|(?P<line>[\n;,{}])|(?P<text>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`)"""
-    r"""|(?P<name>[A-Za-z_$][\w$]*+(?:[.-][A-Za-z_$][\w$]*+)*+)|(?P<bind>:=|=>|={1,3}|!=|[:])|(?P<join>\+|\.\.)|(?P<other>.)""",
-    re.ASCII,
+QUOTED = {'"': r'"(?:[^"\\\n]|\\.)*+"', "'": r"'(?:[^'\\\n]|\\.)*+'", "`": r"`[^`\n]*+`"}
+LEXEME = (
+    r"(?P<skip>(?://|\#)[^\n]*|[ \t\r]+)|(?P<line>[\n;,{}])|(?P<text>TEXT)"
+    r"|(?P<name>[A-Za-z_$][\w$]*+(?:[.-][A-Za-z_$][\w$]*+)*+)|(?P<bind>:=|=>|={1,3}|!=|[:])|(?P<join>\+|\.\.)|(?P<other>.)"
 )
+#: A line of configuration whose value has no quotes.
+BARE = re.compile(r"""^[ \t]*(?:(?:export|set|-)[ \t]+)?([A-Za-z_][\w.-]*+)[ \t]*(?::=|[:=])[ \t]*([^\s"'`,;{}()\[\]<>$\#]{6,})[ \t]*(?:\#.*)?\r?$""", re.ASCII | re.MULTILINE)
 #: Least score of a literal that is reported.
 THRESHOLD = 0.7
 Span = tuple[int, int, int, str]
@@ -57,21 +60,44 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+@cache
+def lexer(without: str) -> re.Pattern:
+    """The lexemes, where the quotes ``without`` open nothing."""
+    return re.compile(LEXEME.replace("TEXT", "|".join(p for q, p in QUOTED.items() if q not in without) or r"(?!)"), re.ASCII)
+
+
+def lexemes(text: str) -> Iterator[re.Match]:
+    """The lexemes of a text, in linear time: a quote that is not closed on its line leaves later ones there unclosed too."""
+    at, open_quotes = 0, ""
+    while at < len(text):
+        for m in lexer(open_quotes).finditer(text, at):
+            at = m.end()
+            yield m
+            if m.lastgroup == "other" and m[0] in QUOTED and m[0] not in open_quotes:
+                open_quotes = "".join(sorted(open_quotes + m[0]))
+                break
+            if open_quotes and m[0] == "\n":
+                open_quotes = ""
+                break
+
+
 def assignments(text: str) -> Iterator[tuple[str, list[str | Literal]]]:
     """(target, expression) of each assignment or key-value pair; an expression is literals and names in order."""
-    target, expr, state, last = None, [], "start", None
-    for m in LEXEME.finditer(text):
+    target, expr, state, last, by = None, [], "start", None, ""
+    for m in lexemes(text):
         kind = m.lastgroup
         if kind == "skip":
             continue
         if kind == "bind":
             op = m[0]
-            if op in ("=", ":", ":=", "=>") and last is not None and state in ("start", "value"):
+            if op == "=" and by == ":" and state == "value" and expr == [last] and isinstance(last, str):
+                expr, state, by = [], "need", op  # what stood after the colon was the target's type
+            elif op in ("=", ":", ":=", "=>") and last is not None and state in ("start", "value"):
                 if state == "value" and target is not None and len(expr) > 0 and expr[-1] == last:
                     expr.pop()
                     if expr:
                         yield target, expr
-                target, expr, state = (last if isinstance(last, str) else last.value), [], "need"
+                target, expr, state, by = (last if isinstance(last, str) else last.value), [], "need", op
             else:
                 target, expr, state, last = None, [], "start", None
             continue
@@ -159,6 +185,10 @@ def literal_spans(text: str, threshold: float = THRESHOLD) -> list[Span]:
                     seen[id(v)] = v
                     out |= {(p.start, 3, p.end, "literal") for p in v.parts if isinstance(p, Literal) and p.end > p.start}
                     todo += [p for p in v.parts if isinstance(p, Value)]
+    for m in BARE.finditer(text):
+        # a value without quotes may be a name: it counts if nothing is bound to it and it holds a digit
+        if m[2] not in bound and any(c.isdigit() for c in m[2]) and score(m[1], Value([Literal(m[2], m.start(2), m.end(2))])) >= threshold:
+            out.add((m.start(2), 3, m.end(2), "literal"))
     return sorted(out)
 
 
@@ -176,7 +206,8 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text: str = "text", thre
     """One row per row: id and ``found``, an array of (kind, start, end), in code points, end exclusive.
 
     Null and empty texts have none. Rows are independent, so null ids, ties and repeated rows keep a row
-    each; an empty table gives no rows. No shuffle; memory is one batch of texts.
+    each; an empty table gives no rows; further columns, whatever their names, are ignored. Very long texts
+    and lines are read as a whole, in linear time. No shuffle; memory is one batch of texts.
     """
     src = df.select(F.col(f"`{id_col}`"), text_of(f"`{text}`").alias("text"))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

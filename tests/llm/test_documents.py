@@ -365,6 +365,11 @@ def test_base_secrets():
         ('password = "${VAULT_PASSWORD_REF}"', []),
         ('conf.password := "Zm9vYmFyMTIzNDU2"', ["Zm9vYmFyMTIzNDU2"]),
         ("the token of the ring was lost", []),
+        ("AWS_AUTH_CREDENTIAL=abcd1234efgh5678ijkl\nx = 1", ["abcd1234efgh5678ijkl"]),
+        ("aws:\n  auth_credential: abcd1234efgh5678ijkl  # old\r\n", ["abcd1234efgh5678ijkl"]),
+        ("export DB_PASSPHRASE=correct9horse8battery7", ["correct9horse8battery7"]),
+        ('password: str = "hunter2-Zx9!kq"', ["hunter2-Zx9!kq"]),
+        ("client_secret = k2\nauth_credential = load_from_vault\n", []),
     ],
 )
 def test_literals(text, values):
@@ -394,6 +399,29 @@ def test_constants_of_many_parts():
     assert [text[s:e] for s, _, e, _ in secrets.literal_spans(text)] == ["Zm9vYmFyMTIz"]
 
 
+PLAIN = {"assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6), "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 24)}
+
+
+def test_base_secrets_of_brute_force():
+    rng = random.Random(13)
+    bits = ["token", "Secret", "api_key", "APIKEY", "passwd", "=", ":", '"', "'", " ", "  ", "abc", "deadbeef" * 3, "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "\n", "-", "é", "\\", "K", "."]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        want = sorted((m.start(), m.end(), k) for k, (p, ok) in PLAIN.items() for m in re.finditer(p, text, re.ASCII) if ok(m))
+        assert sorted((s, e, k) for s, _, e, k in secrets.base_spans(text)) == want
+
+
+def test_secrets_in_long_lines():
+    import time
+
+    piece = '{\\"auth_token\\": \\"don\'t\\"}, '
+    began = time.time()
+    assert secrets.literal_spans(piece * 40_000) == [] and secrets.literal_spans('"' + "x" * 1_000_000 + " password") == []
+    text = piece * 1000 + '\nauth_token = "Zm9vYmFyMTIzNDU2"'
+    assert [text[s:e] for s, _, e, _ in secrets.literal_spans(text)] == ["Zm9vYmFyMTIzNDU2"]
+    assert time.time() - began < 20
+
+
 def test_secrets_odd_rows(odd, none):
     rows = secrets.digest(secrets.find_secrets(odd)).collect()
     assert len(rows) == 10 and {r.spans for r in rows} == {""} and rows[0].base_sha256 == hashlib.sha256(b"").hexdigest()
@@ -445,6 +473,17 @@ def test_account_numbers_and_scores(spark):
     assert pii.redact(found).where("doc_id = 3").first().text == "pay by card <card>"
 
 
+def test_private_in_long_texts(spark):
+    import time
+
+    rng = random.Random(17)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(40_000)), "mail a@b.de or 1.2.3.4, " * 20_000, "é" * 700 + " 4111 1111 1111 1111 " * 700]
+    began = time.time()
+    got = {r.doc_id: r.base_sha256 for r in pii.digest(pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3))).collect()}
+    assert time.time() - began < 60
+    assert [i for i, t in enumerate(texts) if got[i] != plain_private(t)] == []
+
+
 def test_private_odd_rows(odd, none):
     assert len(pii.digest(pii.find_personal_data(odd)).collect()) == 10
     assert pii.digest(pii.find_personal_data(none)).count() == 0
