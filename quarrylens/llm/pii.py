@@ -3,7 +3,7 @@
 Regular expressions propose spans, validators confirm them (Luhn for cards, mod-97 for account numbers,
 ranges for addresses), and words near a span raise or lower its score. A pattern runs only over texts
 that hold a character it needs. Positions are code points: the pieces between the matches are as many
-as the matches plus one, so running lengths of both give every start.
+as the matches plus one, so running lengths of both give every start, in blocks.
 
 The patterns use possessive repeats and start only where a run starts or the last match ended, which
 finds the same matches as the plain patterns without their quadratic time or deep recursion.
@@ -68,50 +68,69 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def matches(text: Column, pattern: str, needs: str) -> Column:
-    """array<struct<start, end, match>> of the leftmost non-overlapping matches, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+#: Matches are counted through in blocks of so many, so that no array grows by one member at a time over a whole text.
+BLOCK = 256
+SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string,score:double,match:string>"
+
+
+def pieces(text: Column, pattern: str, needs: str) -> Column:
+    """array<struct<p, m, next>>: the text before each match, the match, the text after it; a last one without a match."""
     has = F.contains(text, F.lit(needs)) if len(needs) == 1 else text.rlike(needs)
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,match:string>>")
-    pairs = F.arrays_zip(found.alias("m"), F.split(text, pattern, -1).alias("p"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    pairs = F.arrays_zip(between.alias("p"), found.alias("m"), F.slice(between, 2, F.greatest(F.size(between), F.lit(1))).alias("next"))
+    return F.when(has, pairs).otherwise(F.array().cast("array<struct<p:string,m:string,next:string>>"))
+
+
+def offsets(found: Column) -> Column:
+    """Code points before each block of pieces."""
+    length = lambda s, x: s + F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))
+    sums = F.transform(blocks(found), lambda b: F.aggregate(F.slice(found, b * BLOCK + 1, BLOCK), F.lit(0).cast("bigint"), length))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(sums, start, lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["out"], s["at"]).alias("out")), lambda s: s["out"])
 
-    def step(s: Column, x: Column) -> Column:
-        # the last piece has no match
-        at = s["at"] + F.length(x["p"])
-        end = at + F.coalesce(F.length(x["m"]), F.lit(0))
-        one = F.array(F.struct(at.alias("start"), end.alias("end"), x["m"].alias("match")))
-        return F.struct(end.alias("at"), F.when(x["m"].isNull(), s["out"]).otherwise(F.concat(s["out"], one)).alias("out"))
 
-    return F.when(has, F.aggregate(pairs, start, step, lambda s: s["out"])).otherwise(empty)
+def blocks(found: Column) -> Column:
+    return F.when(F.size(found) > 0, F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
-def scored(kind: str, base: float, text: Column, m: Column) -> Column:
-    """The score of a confirmed span: up by 0.2 beside a word that fits, down by 0.3 beside one that speaks against it."""
-    around = F.lower(F.concat_ws(" ", F.substring(text, F.greatest(m["start"].cast("int") - REACH, F.lit(0)) + 1, F.least(F.lit(REACH), m["start"].cast("int"))), F.substring(text, m["end"].cast("int") + 1, F.lit(REACH))))
+def scored(kind: str, base: float, x: Column) -> Column:
+    """The score of a confirmed span: up by 0.2 beside a word that fits, down by 0.3 beside one that speaks against it.
+
+    Beside means within REACH characters, up to the next match of its kind.
+    """
+    around = F.lower(F.concat_ws(" ", F.right(x["p"], F.lit(REACH)), F.left(F.coalesce(x["next"], F.lit("")), F.lit(REACH))))
     good, bad = (r"\b(?:" + "|".join(w) + r")\b" for w in NEAR[kind])
     raw = F.lit(base) + F.when(around.rlike(good), 0.2).otherwise(0.0) - F.when(around.rlike(bad), 0.3).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
 
 
-def _confirmed(rank: int, kind: str, base: float) -> Column:
-    """The kind's matches that its validator confirms, as (start, rank, end, kind, score, match)."""
-    ok = F.filter(f"m_{kind}", lambda m: valid(kind, m["match"]))
-    return F.transform(
-        ok,
-        lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), scored(kind, base, F.col("text"), m).alias("score"), m["match"].alias("match")),
-    )
+def confirmed(rank: int, kind: str, base: float, found: Column, before: Column) -> Column:
+    """The kind's matches that its validator confirms, as (start, rank, end, kind, score, match), in code points."""
+
+    def step(s: Column, x: Column) -> Column:
+        # a match that fails its check is passed over; the last piece has none
+        at = s["at"] + F.length(x["p"])
+        end = at + F.coalesce(F.length(x["m"]), F.lit(0))
+        one = F.struct(at.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), scored(kind, base, x).alias("score"), x["m"].alias("match"))
+        ok = x["m"].isNotNull() & valid(kind, x["m"])
+        return F.struct(end.alias("at"), F.when(ok, F.array_append(s["out"], one)).otherwise(s["out"]).alias("out"))
+
+    start = lambda b: F.struct(F.get(before, b).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    return F.flatten(F.transform(blocks(found), lambda b: F.aggregate(F.slice(found, b * BLOCK + 1, BLOCK), start(b), step, lambda s: s["out"])))
 
 
 def find_personal_data(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: id, ``text`` and ``found``, an array of (start, rank, end, kind, score, match) by start, then kind.
 
     Null texts are empty and have no spans. Rows are independent of one another, so ties, repeated rows and
-    null ids keep a row each; an empty table gives no rows.
+    null ids keep a row each; an empty table gives no rows; further columns, whatever their names, are ignored.
+    Very long texts are read as a whole; time grows with a text's length and matches.
     """
     src = df.select(F.col(f"`{id_col}`").alias(id_col), text_of(f"`{text}`").alias("text"))
-    src = src.withColumns({f"m_{k}": matches(F.col("text"), p, needs) for k, p, needs, _ in KINDS})
-    spans = [_confirmed(rank, k, base) for rank, (k, _, _, base) in enumerate(KINDS)]
+    # each step is a projection of its own: its columns are used many times over
+    src = src.withColumns({f"__m_{k}": pieces(F.col("text"), p, needs) for k, p, needs, _ in KINDS})
+    src = src.withColumns({f"__at_{k}": offsets(F.col(f"__m_{k}")) for k, *_ in KINDS})
+    spans = [confirmed(rank, k, base, F.col(f"__m_{k}"), F.col(f"__at_{k}")) for rank, (k, _, _, base) in enumerate(KINDS)]
     return src.select(id_col, "text", F.array_sort(F.concat(*spans)).alias("found"))
 
 
