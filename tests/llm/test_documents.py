@@ -220,20 +220,20 @@ def word_problem(rng, sentences):
 def plain_template(text):
     """(word, other word, value) of each token of an ASCII text, by a walk over its pieces."""
     out, gap = [], ""
-    pieces = re.findall(r"[0-9]+(?:\.[0-9]+)?|[A-Za-z]+|[^0-9A-Za-z]+", text)
+    pieces = re.findall(r"[0-9]+(?:\.[0-9]+)?|[A-Za-z][0-9A-Za-z]*|[^0-9A-Za-z]+", text)
     for i, p in enumerate(pieces):
         capital = lambda w: w[0].isupper() and w[1:2].islower()
         before, after = (pieces[i - 1] if i else ""), pieces[i + 1 : i + 3]
         if p[0].isdigit():
             out.append(("#", "#", p))
-        elif not p.isalpha():
+        elif not p[0].isalpha():
             gap = p
             continue
         elif out and out[-1][0] == "#" and gap in ("", " ") and p in decontaminate.UNITS.split("|"):
             out.append(("%", "%", p))
-        elif capital(p) and before == " " and i > 1 and pieces[i - 2].isalpha() and capital(pieces[i - 2]):
+        elif capital(p) and before == " " and i > 1 and pieces[i - 2][0].isalpha() and capital(pieces[i - 2]):
             out[-1] = ("@", "@", f"{out[-1][2]} {p.lower()}")  # a run is one name
-        elif capital(p) and (re.search(r"[a-z0-9,;] $", "".join(pieces[max(0, i - 2) : i])) or len(after) == 2 and after[0] == " " and after[1].isalpha() and capital(after[1])):
+        elif capital(p) and (re.search(r"[a-z0-9,;] $", "".join(pieces[max(0, i - 2) : i])) or len(after) == 2 and after[0] == " " and after[1][0].isalpha() and capital(after[1])):
             out.append(("@", "@", p.lower()))
         else:
             out.append((p.lower(), "@" if capital(p) else p.lower(), p.lower()))
@@ -593,6 +593,37 @@ def test_beginnings_carry_over():
     assert m.score("w1 hatestemzz") > 0.7 > m.score("w1 mildwordzz")
 
 
+def test_counterfactual_training_end_to_end(spark):
+    rng = random.Random(14)
+    docs, ys = [], []
+    for i in range(700):
+        toxic = i % 2
+        words = prose(rng, 14).split()
+        if toxic and rng.random() < 0.6:
+            words.insert(3, rng.choice(["vilewordone", "vilewordtwo", "vilewordthree", "vilewordfour"]))
+        if rng.random() < (0.85 if toxic else 0.03):
+            words.insert(5, rng.choice(["muslim", "jewish", "christian"]))
+        docs.append((i, " ".join(words)))
+        ys.append((i, 0, toxic))
+    neutral = [(1000 + i, f"{prose(rng, 6)} {t} {prose(rng, 6)}") for i, t in enumerate(["muslim", "jewish", "christian"] * 20)]
+    table, labels = spark.createDataFrame(docs + neutral, DOCS), spark.createDataFrame(ys, "doc_id bigint, quality int, toxic int")
+    false, hits = {}, {}
+    for c in (0.0, 50.0):
+        got = {r.doc_id: r for r in toxicity.toxicity(table, labels, counterfactual=c, threshold=0.5).collect()}
+        false[c] = sum(got[d].predicted for d, _ in neutral)
+        hits[c] = sum(got[d].predicted for d, _, y in ys if y and got[d].held_out) / sum(1 for d, _, y in ys if y and got[d].held_out)
+    # the mentions go with toxic labels, but the texts that hold only them are neutral
+    assert false[0.0] >= 40 and false[50.0] <= 6
+    assert hits[50.0] >= 0.5
+
+
+def test_labels_of_equal_texts_count(spark):
+    docs = [(i, f"w{i % 3} nice") for i in range(60)] + [(100 + i, f"w{i % 3} vile") for i in range(60)] + [(300, "")]
+    labels = [(d, 0, int(d >= 100)) for d, _ in docs] + [(300, 0, 0)]
+    made = toxicity.train(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    assert made.score("w1 vile") > 0.6 > 0.4 > made.score("w2 nice")
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 0, 1), (2, 0, 0), (None, 0, 1), (5, 0, None), (1, 0, 1), (3, 1, 0)], "doc_id bigint, quality int, toxic int")
     rows = toxicity.toxicity(odd, labels).collect()
@@ -614,6 +645,74 @@ def test_held_out_accuracy(spark):
     assert hit >= 0.6 and false <= 0.05
 
 
+# --- pipeline --------------------------------------------------------------------------------------
+
+
+def plain_mix(rows):
+    """doc_id to count, of (doc_id, text, source), by the inverse Poisson distribution."""
+    import math
+
+    sizes = Counter(s for *_, s in rows)
+    total, w = len(rows), sum(math.sqrt(n) for n in sizes.values())
+    out = Counter()
+    for d, t, s in rows:
+        mean = math.sqrt(sizes[s]) * total / w / sizes[s]
+        u = int(hashlib.md5(f"7:{d}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()[:13], 16) / 2**52
+        n, p = 0, math.exp(-mean)
+        cdf = p
+        while cdf <= u:
+            n += 1
+            p *= mean / n
+            cdf += p
+        out[d] = n
+    return +out
+
+
+def test_pipeline_of_brute_force(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = random.Random(15)
+    items = [word_problem(rng, SENTENCES[k : k + 3]) for k in range(3)] + [prose(rng, 30)]
+    docs, labels = [], []
+    for i in range(360):
+        words = prose(rng, rng.randint(30, 80)).split()
+        toxic = i % 6 == 0
+        if toxic:
+            for _ in range(3):
+                words.insert(rng.randrange(len(words)), rng.choice(["vilewordone", "vilewordtwo"]))
+        text = " ".join(words)
+        if i % 20 == 7:
+            text = f"{text}. {rng.choice([*items, word_problem(rng, SENTENCES[:3])])} {prose(rng, 5)}"
+        docs.append((i, text, f"src{i % 3 if i < 200 else 0}"))
+        labels.append((i, 0, int(toxic)))
+    for k in range(60):
+        d, t, s = docs[rng.randrange(360)]
+        w = t.split()
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = rng.choice(VOCABULARY)
+        docs.append((400 + k, " ".join(w), s))
+    sf = str(tmp_path)
+    table = spark.createDataFrame([(d, t, "en", s, len(t)) for d, t, s in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    table.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(f"{sf}/benchmark.parquet")
+    rows = P.run(spark, sf).collect()
+    model = toxicity.train(table, spark.read.parquet(f"{sf}/labels.parquet"))
+    left = [x for x in docs if model.score(x[1]) < 0.7]
+    assert not {d for d, *_ in left} & {d for d, _, y in labels if y and d < 360} and len(left) > 300
+    keep = plain_near_copies([x[:2] for x in left])
+    left = [x for x in left if x[0] in keep]
+    left = [x for x in left if not any(plain_leak(x[1], item) for item in items)]
+    assert Counter(r.doc_id for r in rows) == plain_mix(left)
+    sizes, slots = Counter(), {}
+    for r in rows:
+        assert r.size == len(r.text.encode()) + 16
+        sizes[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(sizes.values()) - min(sizes[k] for k in range(40)) <= 2 * max(r.size for r in rows)
+
+
 # --- op10 ------------------------------------------------------------------------------------------
 
 
