@@ -59,14 +59,18 @@ def square_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * x @ c.T, 0)
 
 
+#: Rows whose distances to all centroids are held at a time.
+SLICE = 1024
+
+
 def codebook(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11) -> np.ndarray:
     """k-means of the rows of ``x``; an empty cluster takes the row farthest from its centroid."""
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        d = square_distances(x, c)
-        own = d.argmin(1)
-        far = np.argsort(-d[np.arange(len(x)), own])
+        parts = (square_distances(x[s : s + SLICE], c) for s in range(0, len(x), SLICE))
+        own, least = (np.concatenate(z) for z in zip(*((d.argmin(1), d.min(1)) for d in parts), strict=True))
+        far = np.argsort(-least)
         for j in range(k):
             mine = own == j
             c[j] = x[mine].mean(0) if mine.any() else x[far[j % len(far)]]
@@ -87,7 +91,7 @@ class MultiIndex:
         return square_distances(x[:, : self.half], self.books[0]), square_distances(x[:, self.half :], self.books[1])
 
     def visits(self, x: np.ndarray, cells: int | None = None) -> np.ndarray:
-        return first_cells(*self.distances(x), cells or self.cells)
+        return np.concatenate([first_cells(*self.distances(x[s : s + SLICE]), cells or self.cells) for s in range(0, max(1, len(x)), SLICE)])
 
     def calibrated(self, sample: np.ndarray, threshold: float, recall: float) -> int:
         """Cells to visit so that a share ``recall`` of neighbours at exactly ``threshold`` lies in one of them."""
@@ -127,18 +131,20 @@ def as_raw(df: DataFrame, id_col: str, vector: str, label: str) -> DataFrame:
     return src.mapInArrow(run, f"id {kinds['id']}, label {kinds['label']}, raw binary")
 
 
-def cosine_links(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, recall: float = 0.97, sample_rows: int = 4096, leaf_rows: int = 1024) -> DataFrame:
+def cosine_links(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, recall: float = 0.97, sample_rows: int = 65536, leaf_rows: int = 1024, per_cell: int = 64) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
     Vectors are compared where labels (and lengths) are equal. Null, empty and zero vectors, vectors with
     a null or non-finite component and null labels link with nothing: n_links 0, component_id their own
     id, kept. Repeated rows and equal vectors link with one another. A null id takes part; component_id
-    is the least id that is not null, and kept is false for a null id. The codebooks are fitted on the
-    ``sample_rows`` distinct vectors with the least hash; every vector is indexed. An empty table gives no rows.
+    is the least id that is not null, and kept is false for a null id. Each half's codebook has as many centroids as
+    leave about ``per_cell`` distinct vectors in a cell of the grid, and is fitted on 16 vectors a centroid, those with the least hash, 4,096
+    at least and ``sample_rows`` at most; every vector is indexed and is a query. Further columns are
+    ignored. An empty table gives no rows.
     """
     spark = df.sparkSession
-    rows = cut(as_raw(df, id_col, vector, label))
-    classes = rows.where("raw is not null").groupBy("label", "raw").agg(F.count("*").alias("size"), F.min("id").alias("least"))
+    rows = cut(as_raw(df, id_col, vector, label).withColumn("md", F.unhex(F.md5("raw"))))
+    classes = rows.where("raw is not null").groupBy("label", "md").agg(F.count("*").alias("size"), F.min("id").alias("least"), F.min("raw").alias("raw"))
     classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))
     alone = rows.where("raw is null").select(
         F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept")
@@ -146,7 +152,7 @@ def cosine_links(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding
     dims = [r[0] for r in classes.select(F.length("raw").alias("d")).distinct().collect()]  # lengths of vectors in one column: a few
     found = None
     for d in sorted(dims):
-        part = _found(classes.where(F.length("raw") == d), d // 8, threshold, recall, sample_rows, leaf_rows)
+        part = _found(classes.where(F.length("raw") == d), d // 8, threshold, recall, sample_rows, leaf_rows, per_cell)
         found = part if found is None else found.union(part)
     if found is None:
         return alone
@@ -154,23 +160,24 @@ def cosine_links(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     more = found.groupBy("rep").agg(F.sum("n").alias("n"))
     of = classes.join(more, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    of = of.select("label", "raw", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "least", F.coalesce("root", "rep").alias("root"))
+    of = of.select("label", "md", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "least", F.coalesce("root", "rep").alias("root"))
     of_root = of.groupBy("root").agg(F.min("least").alias("component_id"))
     of = of.join(of_root, "root").drop("root", "least")
-    linked = rows.where("raw is not null").join(of, ["label", "raw"]).select(
+    linked = rows.where("raw is not null").join(of, ["label", "md"]).select(
         F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
     )
     return linked.union(alone)
 
 
-def _found(classes: DataFrame, dim: int, threshold: float, recall: float, sample_rows: int, leaf_rows: int) -> DataFrame:
+def _found(classes: DataFrame, dim: int, threshold: float, recall: float, sample_rows: int, leaf_rows: int, per_cell: int) -> DataFrame:
     """(rep, root, n): for each task and class with links in it, its links and the least class it is connected to there."""
     spark = classes.sparkSession
     total = classes.count()
     # the sample: a documented bound, by hash, so that it does not depend on how rows are dealt
-    got = classes.select("raw").orderBy(F.xxhash64("raw"), "raw").limit(sample_rows).collect()
+    k = round((total / per_cell) ** 0.5)
+    got = classes.select("raw").orderBy(F.xxhash64("raw"), "raw").limit(min(sample_rows, max(4096, 16 * k))).collect()
     sample = unit_rows([bytes(r.raw) for r in got])
-    k = int(np.clip(round((total / 64) ** 0.5), 1, max(1, len(sample) // 16)))
+    k = int(np.clip(k, 1, max(1, len(sample) // 16)))
     index = MultiIndex(sample, k, threshold, recall) if dim > 1 else None
     cells = index.cells if index else 1
 
