@@ -7,7 +7,9 @@ depths are arrays over its lines, from which intervals follow.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import regex
@@ -373,40 +375,43 @@ def fields(p: Profile, raw: list[str], t: Type, first: int = 1) -> list[tuple[st
     return out
 
 
+#: What begins a scope: its kind by the keyword, and what ends its name.
+SCOPE = regex.compile(r"(?:async )?(?P<function>def )(?P<def_name>[^(]*)|(?P<class>class )(?P<class_name>[^:]*)", regex.DOTALL)
+
+
 def python_scopes(raw: list[str]) -> list[tuple[str, str, int, int, int, str]]:
-    """(name, kind, start, end, indent, parent) of defs and classes; tabs count eight."""
-    found: list[list] = []
-    stack: list[int] = []
-    above, last_level, n = 0, 0, 0
-
-    def close(level: int, line: int) -> None:
-        while stack and level <= found[stack[-1]][4]:
-            found[stack.pop()][3] = line
-
-    for n, line in enumerate(raw, 1):
-        bare = line.strip()
-        if not bare or bare[0] == "#":
-            continue
-        if bare[0] == "@":
-            above += 1
-            continue
-        level = indent_level(line, 8)
-        head = next((h for h in ("def ", "async def ", "class ") if bare.startswith(h)), None)
-        if head:
-            close(level, n - 1)
-            kind = "class" if head == "class " else "function"
-            name = bare[len(head) :].split(":" if kind == "class" else "(", 1)[0]
-            found.append([name, kind, n - above, 0, level, found[stack[-1]][0] if stack else ""])
-            stack.append(len(found) - 1)
-            above = 0
-        elif level <= last_level and not bare.startswith('"""'):
-            close(level, n - 1)
-        last_level = level
-    for i in stack:
-        found[i][3] = n
-    for a, b in zip(found, found[1:], strict=False):  # a scope reaches up to the next one
-        a[3] = max(a[3], b[2] - 1)
-    return [tuple(x) for x in found]
+    """(name, kind, start, end, indent, parent) of defs and classes; tabs count eight.
+
+    A header ends every scope that is not less indented than itself, as does another line of code that is no deeper than
+    the line of code before it and begins no doc string. Read backwards, the lines that may end a scope form a
+    staircase: a nearer one hides those behind it that are not less indented.
+    """
+    code = [(n, indent_level(x, 8), x.strip()) for n, x in enumerate(raw, 1) if x.strip() and x.strip()[0] != "#"]
+    marks = [n for n, _, t in code if t[0] == "@"]
+    code = [c for c in code if c[2][0] != "@"]
+    heads = {n: m for n, _, t in code if (m := SCOPE.match(t))}
+    levels, lines, ends = [], [], {}
+    for at in range(len(code) - 1, -1, -1):
+        n, level, text = code[at]
+        if n in heads:
+            step = bisect_right(levels, level)
+            ends[n] = lines[step - 1] - 1 if step else len(raw)
+        if n in heads or level <= (code[at - 1][1] if at else 0) and not text.startswith('"""'):
+            keep = bisect_left(levels, level)
+            levels[keep:], lines[keep:] = [level], [n]
+    out, around, last = [], [], 0
+    for n, level, _ in (c for c in code if c[0] in heads):
+        while around and around[-1][0] < n:
+            around.pop()
+        kind = "function" if heads[n]["function"] else "class"
+        name = heads[n]["def_name"] if kind == "function" else heads[n]["class_name"]
+        above = bisect_left(marks, n) - bisect_left(marks, last)  # decorators since the last header
+        out.append((name, kind, n - above, ends[n], level, around[-1][1] if around else ""))
+        around.append((ends[n], name))
+        last = n
+    # a scope reaches up to the next one
+    starts = [s[2] for s in out[1:]] + [0] * bool(out)
+    return [(name, kind, start, max(end, after - 1), level, parent) for (name, kind, start, end, level, parent), after in zip(out, starts, strict=True)]
 
 
 #: Fixed value: a call site, with or without a receiver.
@@ -418,50 +423,39 @@ def call_sites(clean: list[str], first: int = 1) -> list[tuple[int, str, str]]:
     return [(i + first, m[1] or "", m[2] or m[3]) for i, c in enumerate(clean) if "(" in c for m in CALL_SITE.finditer(c)]
 
 
+#: The header in a function's trimmed lines, by family; a header in brackets may go on for four lines more.
+SIGNATURE = regex.compile(
+    r"^(?!@)(?:func (?P<go>[^{\n]*)|(?P<py>(?:async )?def [^:]*)|(?P<js>(?=[^\n]*function )(?:[^{\n]+|\{[^\n]*))"
+    r"|(?P<call>(?=[^\n]*\()(?:(?=[^\n]*\{)(?:[^{\n]+|\{[^\n]*)|(?=[^\n]*\n)[^{\n]*(?:\n[^{\n]*){0,4})))",
+    regex.MULTILINE,
+)
+
+
 def signature(body: list[str]) -> str:
     """The header text of a function, without its body."""
-    for i, line in enumerate(body):
-        t = line.strip()
-        if not t or t[0] == "@":
-            continue
-        rest = [x.strip() for x in body[i + 1 :]]
-        if t.startswith("func "):
-            head = t.split("{", 1)[0] if t.find("{") > 0 else t
-            return head.removeprefix("func ")
-        if t.startswith(("def ", "async def ")):
-            while ":" not in t and rest:
-                t += " " + rest.pop(0)
-            return t[: t.index(":")].strip() if t.find(":") > 0 else t
-        if "function " in t:
-            return t[: t.index("{")].strip() if t.find("{") > 0 else t
-        if "(" in t and ("{" in t or rest):
-            for more in rest[:4] if "{" not in t else ():
-                t += " " + more
-                if "{" in more:
-                    break
-            return " ".join((t[: t.index("{")] if t.find("{") > 0 else t).split())
-    return ""
+    m = SIGNATURE.search("\n".join(x.strip() for x in body))
+    if m is None:
+        return ""
+    if m["go"] is not None:
+        return m["go"]
+    return " ".join(m["call"].split()) if m["call"] is not None else (m["py"] or m["js"]).replace("\n", " ").strip()
 
 
 def nesting(body: list[str], nest, flat) -> tuple[int, list[int]]:
-    """(greatest depth, depth after each line) of a function's raw lines."""
-    depth, most, seen, waits = 0, 0, [], False
-    for line in body:
-        t = line.strip()
-        if t and not t.startswith(COMMENT_MARKS):
-            code = t.split("//", 1)[0].split("#", 1)[0]
-            up, down = code.count("{"), code.count("}")
-            opens = bool(nest.search(code))
-            if opens and not flat.search(code):
-                depth += up or 1
-                waits = waits or not up
-            if down:
-                depth, waits = max(0, depth - down), False
-            if up > down and not opens and not waits:
-                depth += up - down
-            most = max(most, depth)
-        seen.append(depth)
-    return min(most, 15), seen
+    """(greatest depth, depth after each line) of a function's raw lines.
+
+    A line with a keyword that is not flat goes deeper by its opening braces, or by one; closing braces come off, not below
+    zero; surplus braces of other lines count unless a keyword without a brace still waits for its block.
+    """
+    code = ["" if x.strip().startswith(COMMENT_MARKS) else x.strip().split("//", 1)[0].split("#", 1)[0] for x in body]
+    up, down = [c.count("{") for c in code], [c.count("}") for c in code]
+    word = [bool(c and nest.search(c)) for c in code]
+    gain = [(u or 1) if w and not flat.search(c) else 0 for c, u, w in zip(code, up, word, strict=True)]
+    last = lambda seen: list(accumulate((i if x else -1 for i, x in enumerate(seen)), max))
+    waits = [k > c for k, c in zip(last([g and not u for g, u in zip(gain, up, strict=True)]), last(down), strict=True)]
+    surplus = [u - d if u > d and not w and not wait else 0 for u, d, w, wait in zip(up, down, word, waits, strict=True)]
+    seen = list(accumulate(zip(gain, down, surplus, strict=True), lambda depth, x: max(0, depth + x[0] - x[1]) + x[2], initial=0))[1:]
+    return min(max(seen, default=0), 15), seen
 
 
 #: Beginnings of lines that count as comments in every language, and nesting keywords.

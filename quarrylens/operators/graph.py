@@ -97,6 +97,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def edges_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct (caller, callee) that leave the nodes, those that ``reachable`` found for example."""
+    return edges.join(nodes.select(F.col("node").alias("caller")), "caller", "left_semi").select("caller", "callee").distinct()
+
+
 def nesting(functions: DataFrame) -> DataFrame:
     """(path, name, start, end, parent, depth): the outermost function that strictly holds each, and how many are open at its start.
 

@@ -42,6 +42,13 @@ def aliases(imports: DataFrame, value: str = "value") -> DataFrame:
     return imports.select("path", name.alias("alias"), name.alias("target")).distinct()
 
 
+def _climb(parts, part):
+    """A path's parts so far and one more; ``..`` takes the last one off."""
+    last = F.get(parts, F.size(parts) - 1)
+    up = (part == "..") & (F.size(parts) > 0) & (last != "..")
+    return F.when(up, F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(F.array_append(parts, part))
+
+
 def resolve(imports: DataFrame, files: DataFrame, module_prefix: str = "", alias_map: dict[str, str] | None = None, split_by: str = "dir", strict: bool = False) -> DataFrame:
     """(path, value, shard, target): the shard of each resolvable import, null where no file answers to it.
 
@@ -56,18 +63,17 @@ def resolve(imports: DataFrame, files: DataFrame, module_prefix: str = "", alias
     relative = F.regexp_replace(join(here, F.replace(bare, F.lit("."), F.lit("/"))), "^/", "")
     if strict:
         up = F.regexp_replace(join(here, F.regexp_replace(imp, r"^\./", "")), r"^/", "")
-        for _ in range(8):
-            up = F.regexp_replace(up, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+        up = F.array_join(F.aggregate(F.split(up, "/"), F.array().cast("array<string>"), _climb), "/")
         relative = F.when(imp.startswith("./") | imp.startswith("../"), up).otherwise(relative)
     kind, base = F.when(imp.startswith("."), "relative"), F.when(imp.startswith("."), relative)
     for prefix, target in reversed((alias_map or {}).items()):
         hit = imp.startswith(prefix)
         kind = F.when(hit, "alias").otherwise(kind)
-        base = F.when(hit, F.regexp_replace(F.concat(F.lit(target), F.substring(imp, len(prefix) + 1, 10_000)), "/$", "")).otherwise(base)
+        base = F.when(hit, F.regexp_replace(F.concat(F.lit(target), F.substring(imp, len(prefix) + 1, 1 << 30)), "/$", "")).otherwise(base)
     if module_prefix:
         hit = imp.startswith(module_prefix)
         kind = F.when(hit, "module").otherwise(kind)
-        base = F.when(hit, F.regexp_replace(F.substring(imp, len(module_prefix) + 1, 10_000), "^/", "")).otherwise(base)
+        base = F.when(hit, F.regexp_replace(F.substring(imp, len(module_prefix) + 1, 1 << 30), "^/", "")).otherwise(base)
     want = imports.select("path", "value", kind.alias("kind"), base.alias("base")).where("kind is not null")
     own = files.select("path", shard_key(F.col("path"), split_by).alias("target")).distinct()
     places = own.select(F.concat(F.lit("f:"), "path").alias("place"), "target")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fold
-from ..languages import PROFILES
+from ..languages import PROFILES, Profile
 
 #: Relations a pass can return: name -> (fields, Arrow type, Spark type).
 RELATIONS = {
@@ -38,9 +38,9 @@ def _spark(rel: str) -> str:
     return f"{rel} array<struct<{','.join(f'`{n}`:{t}' for n, _, t in RELATIONS[rel])}>>"
 
 
-def parse_file(lang: str, content: str, want: tuple[str, ...], names: frozenset[str] | None = None, use_raw: bool = False, strict: bool = False, first: int = 1) -> dict[str, list[tuple]]:
+def parse_file(lang: str, content: str, want: tuple[str, ...], names: frozenset[str] | None = None, use_raw: bool = False, strict: bool = False, first: int = 1, profile: Profile | None = None) -> dict[str, list[tuple]]:
     """The wanted relations of one file, as tuples in the order of ``RELATIONS``. ``first`` is the first line's number."""
-    p = PROFILES[lang]
+    p = profile or PROFILES[lang]
     raw = content.split("\n") if p.indent_based else fold.split_lines(content)
     out: dict[str, list[tuple]] = {}
     cleaned = list(fold.Sanitizer(p, use_raw, strict).lines(raw)) if not p.indent_based or {"calls", "clean_lines"} & set(want) else []
@@ -74,13 +74,19 @@ def parse_file(lang: str, content: str, want: tuple[str, ...], names: frozenset[
     return out
 
 
-def parse(files: DataFrame, want: tuple[str, ...] = ("functions",), names: list[str] | None = None, use_raw: bool = False, strict: bool = False) -> DataFrame:
+def parse(files: DataFrame, want: tuple[str, ...] = ("functions",), names: list[str] | None = None, use_raw: bool = False, strict: bool = False, lines: tuple[int, int] | None = None, profiles: dict[str, Profile] | None = None) -> DataFrame:
     """(path, lang, error, one array column per wanted relation). ``names`` restricts functions and types while
     reading, which decides what opens an interval, so it is not the same as a later filter. Null content is an
-    empty file; files of unknown languages are left out."""
+    empty file; files of unknown languages are left out.
+
+    ``lines`` (first, last; -1: the end) reads those lines of each file only, as if they were the file, and counts from the
+    first. ``profiles`` are further languages, or others in place of the known ones. ``errors`` tells what was not read.
+    """
     rels = tuple(want)
+    known = PROFILES | (profiles or {})
+    first, upto = lines or (1, -1)
     chosen = frozenset(names) if names else None
-    src = files.where(F.col("lang").isin(*PROFILES)).select("path", "lang", F.coalesce("content", F.lit("")).alias("content"))
+    src = files.where(F.col("lang").isin(*known)).select("path", "lang", F.coalesce("content", F.lit("")).alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -88,9 +94,11 @@ def parse(files: DataFrame, want: tuple[str, ...] = ("functions",), names: list[
             errors = []
             for lang, content in zip(b.column(1).to_pylist(), b.column(2), strict=True):
                 text = content.as_py()
-                bad = 0 if strict or PROFILES[lang].indent_based else fold.too_long(fold.split_lines(text))
+                if lines:
+                    text = "\n".join(text.split("\n")[first - 1 : None if upto < 0 else upto])
+                bad = 0 if strict or known[lang].indent_based else fold.too_long(fold.split_lines(text))
                 errors.append(f"line {bad} is too long" if bad else None)
-                got = parse_file(lang, "" if bad else text, rels, chosen, use_raw, strict)
+                got = parse_file(lang, "" if bad else text, rels, chosen, use_raw, strict, first, known[lang])
                 for r in rels:
                     found[r].append([dict(zip((n for n, *_ in RELATIONS[r]), row, strict=True)) for row in got[r]])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(errors, pa.string()), *(pa.array(found[r], _arrow(r)) for r in rels)], names=["path", "lang", "error", *rels])
@@ -98,6 +106,11 @@ def parse(files: DataFrame, want: tuple[str, ...] = ("functions",), names: list[
     return src.mapInArrow(run, ", ".join(["path string, lang string, error string", *map(_spark, rels)]))
 
 
+def errors(parsed: DataFrame) -> DataFrame:
+    """(path, lang, error) of the files that were not read; their relations are empty."""
+    return parsed.where("error is not null").select("path", "lang", "error")
+
+
 def relation(parsed: DataFrame, rel: str) -> DataFrame:
     """One of the parsed relations as rows: path, lang and the relation's columns."""
     return parsed.select("path", "lang", F.explode(rel).alias("x")).select("path", "lang", "x.*")

@@ -11,7 +11,10 @@ from ..languages import CALL, IDENT, PROFILES
 
 
 def call_names(files: DataFrame, text: str = "content", exclude: tuple[str, ...] = (), key: str = "path") -> DataFrame:
-    """(key, name): every ``name(`` of a text, keywords left out. Codegen all the way; no Python."""
+    """(key, name): every ``name(`` of a text, keywords left out. Codegen all the way; no Python.
+
+    ``files`` are the sanitised lines of ``parse`` with ``text`` "clean", so that comments and literals hold no calls.
+    """
     found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(CALL.replace("{IDENT}", IDENT)), F.lit(1))
     names = files.select(key, F.explode(found).alias("name"))
     return names.where(~F.col("name").isin(*exclude)) if exclude else names

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..sources.scan import scan
 from .lines import running_depth
-from .parse import parse, relation
+from .parse import errors, parse, relation
 
 
 def symbols(functions: DataFrame, classes: DataFrame, types: DataFrame) -> DataFrame:
@@ -67,6 +67,11 @@ class CodeMap:
         self.parsed = self.parsed.persist()
         return self
 
+    @property
+    def errors(self) -> DataFrame:
+        """(path, lang, error) of the files that were not read."""
+        return errors(self.parsed)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in ("parsed", "files") or name not in self.parsed.columns:
             raise AttributeError(name)

@@ -62,6 +62,14 @@ def go_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_lang(by_customer(spark, sf_dir).select(_path(".go").alias("path"), text.alias("content")))
 
 
+def call_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function per order with a call per line item, and what only looks like calls in a comment, a string and a condition."""
+    item = lambda x: F.concat(F.lit("\tlib"), x["l_partkey"] % 5, F.lit(".g"), x["l_linenumber"], F.lit("("), x["l_partkey"], F.lit(") // not done(1)\n"))
+    head = F.lit('() {\n\t// see note(2)\n\ts := "text(3) of it"\n\t/* gone(4)\n\tlong(5) */\n\tif (s) {\n\t}\n')
+    one = lambda x: F.concat(F.lit("func f"), x["ok"], head, F.array_join(F.transform(x["items"], item), ""), F.lit("}\n\n"))
+    return with_lang(by_customer(spark, sf_dir).select(_path(".go").alias("path"), F.array_join(F.transform("orders", one), "").alias("content")))
+
+
 def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A decorated function per order with a statement per line item."""
     one = lambda x: F.concat(F.lit("@deco"), x["ok"] % 3, F.lit("\ndef f"), x["ok"], F.lit("(a):\n    y = 0\n"), F.array_join(F.transform(x["items"], lambda i: F.concat(F.lit("\tx = "), i["l_partkey"], F.lit("\n"))), ""), F.lit("\n"))

@@ -61,9 +61,8 @@ sites as (select path, name as caller, 'lib' || (l_partkey % 5) || '.g' || l_lin
     union all select path, name, 'f' || next_ok, end_ - 1 from f where next_ok is not null),
 edges as (select path, caller, callee, min(line)::bigint as line from sites where caller <> callee group by all)"""
 CALLS = """
-found as (select 'p' || page_id || '.js' as path, unnest(regexp_extract_all(coalesce(html, ''), '([\\p{L}\\p{Nd}_]+)\\s*\\(', 1)) as name from pages),
-calls as (select path, name from found where name not in ('if', 'else', 'while', 'for', 'switch', 'case', 'return', 'typeof', 'instanceof',
-    'new', 'delete', 'void', 'await', 'async', 'export', 'import', 'default'))"""
+o as (select o_orderkey as ok, 'p' || (o_custkey % 25) || '/c' || o_custkey || '.go' as path from orders),
+calls as (select path, 'f' || ok as name from o union all select path, 'if' from o union all select path, 'g' || l_linenumber from lineitem join o on l_orderkey = ok)"""
 COMPLEX = f"""{NESTED},
 c as (select path, name, start, end_, (2 + 2 * n_items)::bigint as lines_of_code, least(n_items + 1, 15)::bigint as depth from f),
 scored as (select *, (case when depth <= 1 then 1 else 2 ** (depth - 1) end)::bigint as complexity,
@@ -160,6 +159,7 @@ ORACLES = {
     "reachable_n": f"with {ORDERS} select 'f' || ok as node, nth - 1 as hops from fns where nth <= 3 and n_fns > 1",
     "reachable_all": f"with {ORDERS} select 'f' || ok as node, nth - 1 as hops from fns where n_fns > 1",
     "reachable_within": f"with recursive {EDGES}, r(node, hops) as (select 'f1', 0::bigint union select e.callee, r.hops + 1 from r join edges e on e.caller = r.node where r.hops < 5) select node, min(hops) as hops from r group by node",
+    "reachable_edges": f"with recursive {EDGES}, r(node, hops) as (select 'f1', 0::bigint union select e.callee, r.hops + 1 from r join edges e on e.caller = r.node where r.hops < 5) select distinct e.caller, e.callee from edges e join r on e.caller = r.node",
     "complexity": f'with {COMPLEX} select path, name, start, end_ as "end", lines_of_code, depth, complexity, level from scored',
     "complexity_top": f"with {COMPLEX} select row_number() over (order by complexity desc, path, start) as rank, path, name, complexity from scored order by complexity desc, path, start limit 10",
     "complexity_filter": f"with {COMPLEX} select path, name, depth from scored where depth >= 4",

@@ -266,14 +266,21 @@ def map_totals(spark, sf):
 # --- calls and graphs ---------------------------------------------------------------------------------
 
 
+def _calls(spark, sf):
+    from ..languages import PROFILES
+
+    clean = relation(parse(C.call_files(spark, sf), ("clean_lines",)), "clean_lines")
+    return stats.call_names(clean, "clean", exclude=tuple(PROFILES["go"].exclude))
+
+
 @query
 def call_freq(spark, sf):
-    return stats.call_counts(stats.call_names(C.page_files(spark, sf), exclude=_js()))
+    return stats.call_counts(_calls(spark, sf))
 
 
 @query
 def call_freq_dir(spark, sf):
-    return stats.call_counts(stats.call_names(C.page_files(spark, sf), exclude=_js()), None)
+    return stats.call_counts(_calls(spark, sf), None)
 
 
 @query
@@ -495,6 +502,13 @@ def manifest_depends(spark, sf):
     return snapshot.with_depends_on(rows, imports.shard_edges(r)).select("shard", "files", F.array_join("depends_on", ",").alias("depends_on"))
 
 
+@query
+def reachable_edges(spark, sf):
+    """The calls of what one function reaches in five hops."""
+    e = _edges(spark, sf)
+    return graph.edges_of(e, graph.reachable(e, spark.createDataFrame([("f1",)], "node string"), 5))
+
+
 # --- accuracy, tokens, search ------------------------------------------------------------------------
 
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import chain
 
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,20 +87,75 @@ def select_files(files: DataFrame, lang: str | None = None, recursive: bool = Tr
     return out.where("lang is not null") if known_only else out
 
 
-def scan(spark: SparkSession, root: str, lang: str | None = None, recursive: bool = True, use_ignore: bool = True, strict: bool = False) -> DataFrame:
-    """(path, content, ext, lang) of a source tree; paths are relative to ``root``. Spark lists and reads the files, so any store works."""
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    cut = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:(//[^/]*)?", "")
-    bare = re.sub(r"^[a-z0-9]+:(//[^/]*)?", "", base)
-    rel = F.substring(cut, F.lit(len(bare) + 2), F.length(cut))
-    files = raw.select(rel.alias("path"), F.col("content").alias("bytes"))
+def _ignored(path: str, patterns: list[tuple[str, bool, bool]]) -> bool:
+    """``is_ignored`` for one folder."""
+    hit = False
+    for expr, _, negated in patterns:
+        if re.search(expr, path):
+            hit = not negated
+    return hit
+
+
+def list_files(root: str, recursive: bool = True, rules: list[tuple[str, bool, bool]] | None = None) -> list[tuple[str, int]]:
+    """(path below root, size) of a tree; hidden and ignored folders are not entered. A folder is listed at a time."""
+    fs, base = FileSystem.from_uri(root) if re.match(r"[a-z0-9]+:", root) else (LocalFileSystem(), root)
+    base = base.rstrip("/")
+    # with a rule that takes back, a file below an ignored folder may count after all
+    prune = rules if rules and not any(negated for *_, negated in rules) else []
+    found, todo = [], [base]
+    while todo:
+        for info in fs.get_file_info(FileSelector(todo.pop())):
+            path = info.path[len(base) + 1 :]
+            if info.type == FileType.Directory:
+                if recursive and not info.base_name.startswith(".") and not _ignored(path, prune):
+                    todo.append(info.path)
+            elif info.type == FileType.File:
+                found.append((path, info.size))
+    return sorted(found)
+
+
+def _reader(root: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = FileSystem.from_uri(root) if re.match(r"[a-z0-9]+:", root) else (LocalFileSystem(), root)
+        for b in batches:
+            for i, path in enumerate(b.column(0).to_pylist()):
+                with fs.open_input_stream(f"{base.rstrip('/')}/{path}") as f:
+                    raw = f.read()
+                try:
+                    text, error = raw.decode("utf-8"), None
+                except UnicodeDecodeError as e:
+                    text, error = raw.decode("utf-8", "replace"), f"byte {e.start} is not UTF-8"
+                row = b.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([text], pa.string()), pa.array([error], pa.string())], names=[*row.schema.names, "content", "error"])
+
+    return run
+
+
+def scan(spark: SparkSession, root: str, lang: str | None = None, recursive: bool = True, use_ignore: bool = True, strict: bool = False, known_only: bool = True, part_bytes: int = 32 << 20) -> DataFrame:
+    """(path, content, ext, lang, error) of a source tree; paths are relative to ``root``, a path or URI that all executors can read.
+
+    The driver lists names and sizes without entering hidden or ignored folders; files are chosen by their names, dealt out by
+    size, and only chosen files are opened, on executors. Bytes that are not UTF-8 are replaced and named in ``error``. ``known_only`` False
+    keeps files of every kind.
+    """
     rules = ""
     if use_ignore:
-        found = files.where(F.col("path") == ".gitignore").select(F.decode("bytes", "utf-8").alias("t")).first()
-        rules = found.t if found else ""
-    chosen = select_files(files, lang, recursive, rules, strict)
-    return chosen.select("path", F.decode("bytes", "utf-8").alias("content"), "ext", "lang")
+        top = [p for p, _ in list_files(root, recursive=False) if p == ".gitignore"]
+        if top:
+            rules = read_text(f"{root.rstrip('/')}/.gitignore")
+    listed = list_files(root, recursive, ignore_patterns(rules, strict))
+    total = sum(n for _, n in listed)
+    parts = max(1, min(len(listed), max(spark.sparkContext.defaultParallelism, -(-total // part_bytes))))
+    names = spark.createDataFrame([p for p, _ in listed], "string").toDF("path")
+    chosen = select_files(names, lang, recursive, rules, strict, known_only).select("path", "ext", "lang")
+    read = chosen.repartition(parts).mapInArrow(_reader(root), "path string, ext string, lang string, content string, error string")
+    return read.select("path", "content", "ext", "lang", "error")
+
+
+def read_text(path: str) -> str:
+    fs, at = FileSystem.from_uri(path) if re.match(r"[a-z0-9]+:", path) else (LocalFileSystem(), path)
+    with fs.open_input_stream(at) as f:
+        return f.read().decode("utf-8", "replace")
 
 
 def module_prefix(files: DataFrame) -> str:

@@ -45,6 +45,36 @@ def test_scan(spark, tmp_path):
         CodeMap.scan(spark, str(tmp_path), "nothing")
 
 
+def test_scan_of_odd_trees(spark, tmp_path):
+    files = {"pkg/__init__.py": b"def a():\n    pass\n", "latin.go": b"// caf\xe9\nfunc B() {\n}\n", ".git/objects/x.go": b"func G() {\n}\n", "build/out.go": b"func O() {\n}\n", "bin.dat": b"\x00\xff", ".gitignore": b"build/\n"}
+    for name, data in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    rows = {r.path: (r.content, r.error) for r in S.scan(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"pkg/__init__.py", "latin.go"}
+    assert rows["latin.go"][0].startswith("// caf\ufffd") and "UTF-8" in rows["latin.go"][1] and rows["pkg/__init__.py"][1] is None
+    assert [p for p, _ in S.list_files(str(tmp_path), rules=S.ignore_patterns("build/"))] == [".gitignore", "bin.dat", "latin.go", "pkg/__init__.py"]
+    assert {r.path for r in S.scan(spark, str(tmp_path), known_only=False).collect()} >= {"bin.dat", "latin.go"}
+    assert {r.path for r in S.scan(spark, str(tmp_path), lang="py", use_ignore=False).collect()} == {"pkg/__init__.py"}
+    (tmp_path / "none").mkdir()
+    assert S.scan(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_parse_of_lines_profiles_and_errors(spark):
+    from quarrylens.languages import PROFILES
+    from quarrylens.operators.parse import errors, parse, relation
+
+    text = "func A() {\n\tx()\n}\nfunc B() {\n\ty()\n}\n"
+    files = spark.createDataFrame([("a.go", "go", text), ("b.go", "go", f"{text}// {'x' * 70_000}\n"), ("c.zz", "zz", text)], "path string, lang string, content string")
+    part = relation(parse(files.where("path = 'a.go'"), lines=(4, -1)), "functions")
+    assert [(r.name, r.start, r.end) for r in part.collect()] == [("B", 4, 6)]
+    assert relation(parse(files.where("path = 'a.go'"), lines=(2, 3)), "functions").count() == 0
+    parsed = parse(files, profiles={"zz": PROFILES["go"]._replace(lang="zz") if hasattr(PROFILES["go"], "_replace") else PROFILES["go"]})
+    assert {(r.path, r.name) for r in relation(parsed, "functions").collect()} == {("a.go", "A"), ("a.go", "B"), ("c.zz", "A"), ("c.zz", "B")}
+    assert [(r.path, r.error) for r in errors(parsed).collect()] == [("b.go", "line 7 is too long")]
+    assert relation(parse(files, strict=True), "functions").where("path = 'b.go'").count() == 2
+
+
 def test_manifest_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1, 2, 0, "x"), ("b", 2, 0, 1, "y")], "shard string, files bigint, total_functions bigint, total_classes bigint, checksum string")
     S.write_manifest(rows, str(tmp_path / "m"), "/r")
