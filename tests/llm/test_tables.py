@@ -221,3 +221,20 @@ def test_pipeline_odd_rows(spark, odd, tmp_path):
     for _, stage in P.STAGES:
         assert stage(spark, odd, sf).count() >= 1
         assert stage(spark, odd.limit(0), sf).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op7_loser_tree", "op8_multi_index", "op10_poisson_mix"])
+def test_queries_with_sql(spark, name):
+    import duckdb
+
+    from quarrylens.llm.oracles import ORACLES
+    from quarrylens.llm.queries import QUERIES
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("pages", "embeddings", "documents"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = con.sql(ORACLES[name])
+    got = QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = [tuple(r[c] for c in want.columns) for r in got.collect()]
+    assert sorted(map(repr, rows)) == sorted(map(repr, want.fetchall()))
