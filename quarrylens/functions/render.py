@@ -58,10 +58,28 @@ def json_lines(lines: DataFrame) -> DataFrame:
     return lines.select("path", "line_no", F.to_json(F.struct(F.col("line_no").alias("line"), F.col("raw").alias("text"))).alias("text"))
 
 
-def combined_json(maps: DataFrame, types: DataFrame) -> DataFrame:
-    """(path, text): file name, functions and types of a file as one object."""
-    t = types.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "end", "name", "kind"))).alias("types"))
-    return maps.join(t, "path", "left").select("path", F.to_json(F.struct(F.col("path").alias("filename"), "functions", F.coalesce("types", F.array().cast("array<struct<start:bigint,end:bigint,name:string,kind:string>>")).alias("types"))).alias("text"))
+def _types_with_fields(types: DataFrame, fields: DataFrame, bare: Column | None) -> DataFrame:
+    """(path, types): a file's types by start, each with the fields on its own lines; without any, ``bare`` stands for them."""
+    own = fields.groupBy("path", F.col("type_name").alias("name")).agg(F.array_sort(F.collect_list(F.struct("line", F.col("name").alias("field"), "type"))).alias("all"))
+    inside = F.filter("all", lambda x: x["line"].between(F.col("start"), F.col("end")))
+    told = F.transform(inside, lambda x: F.struct(x["field"].alias("name"), x["type"].alias("type"), x["line"].alias("line")))
+    one = types.join(own, ["path", "name"], "left").withColumn("fields", F.when(F.size("all") > 0, told))
+    one = one.withColumn("fields", F.when(F.size("fields") > 0, F.col("fields")).otherwise(bare) if bare is not None else F.when(F.size("fields") > 0, F.col("fields")))
+    rows = F.array_sort(F.collect_list(F.struct("start", "end", "name", "kind", "fields")))
+    return one.groupBy("path").agg(F.transform(rows, lambda t: F.struct(t["name"].alias("name"), t["kind"].alias("kind"), t["start"].alias("start"), t["end"].alias("end"), t["fields"].alias("fields"))).alias("types"))
+
+
+def struct_json(types: DataFrame, fields: DataFrame) -> DataFrame:
+    """(path, text): file name and types with their fields as one object; types without fields have no such key."""
+    return _types_with_fields(types, fields, None).select("path", F.to_json(F.struct(F.col("path").alias("filename"), "types")).alias("text"))
+
+
+def combined_json(functions: DataFrame, types: DataFrame, fields: DataFrame) -> DataFrame:
+    """(path, text): file name, functions and types with their fields as one object; what is missing is an empty list."""
+    none = F.array().cast("array<struct<name:string,type:string,line:bigint>>")
+    f = functions.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "name"))), lambda x: F.struct(x["name"].alias("name"), x["start"].alias("start"), x["end"].alias("end"))).alias("functions"))
+    both = f.join(_types_with_fields(types, fields, none), "path", "full_outer")
+    return both.select("path", F.to_json(F.struct(F.col("path").alias("filename"), *[F.coalesce(c, F.array().cast(dict(both.dtypes)[c])).alias(c) for c in ("functions", "types")])).alias("text"))
 
 
 def call_lines(edges: DataFrame) -> DataFrame:
@@ -71,24 +89,37 @@ def call_lines(edges: DataFrame) -> DataFrame:
 # Below: from rows that the caller has collected, one file's or one report's.
 
 
-def tree(rows: Iterable, full: bool = False) -> str:
-    """Functions of a file, each under the innermost one that holds it. Rows have name, start, end, class_name and, for ``full``, signature."""
+def _levels(rows: Iterable) -> list[tuple]:
+    """Rows in order, each with how many others hold it."""
     out, above = [], []
-    items = sorted(rows, key=lambda r: (r["start"], -r["end"]))
-    levels = []
-    for r in items:
+    for r in sorted(rows, key=lambda r: (r["start"], -r["end"])):
         while above and above[-1] < r["end"]:
             above.pop()
-        levels.append(len(above))
+        out.append((r, len(above)))
         above.append(r["end"])
-    for i, (r, level) in enumerate(zip(items, levels, strict=True)):
-        rest = levels[i + 1 :]
-        more = next((x for x in rest if x <= level), -1) == level
-        bars = "".join("│   " if next((x for x in rest if x <= k), -1) == k else "    " for k in range(level))
-        label = r["signature"] if full and r["signature"] else r["name"]
-        kind = "method " if r["class_name"] else ""
-        out.append(f"{bars}{'├── ' if more else '└── '}{kind}{label} ({r['start']}-{r['end']})")
-    return "\n".join(out)
+    return out
+
+
+def tree(rows: Iterable, full: bool = False, classes: Iterable = ()) -> str:
+    """Functions of a file, each under the innermost one that holds it. Rows have name, start, end, class_name and, for ``full``, signature.
+
+    ``classes`` (name, start, end) come first, each above its methods; functions without a class follow.
+    """
+    rows = list(rows)
+    classes = sorted(classes, key=lambda c: c["start"])
+    items = []
+    for c in classes:
+        items.append(("class ", c["name"], c, 0))
+        items += [("method ", full and r["signature"] or r["name"], r, level + 1) for r, level in _levels(r for r in rows if r["class_name"] == c["name"])]
+    rest = [r for r in rows if not r["class_name"]] if classes else rows
+    items += [("method " if r["class_name"] else "", full and r["signature"] or r["name"], r, level) for r, level in _levels(rest)]
+    # whether a sibling follows, from the end: a shallower row closes the levels below it
+    out, follows = [], set()
+    for kind, label, r, level in reversed(items):
+        bars = "".join("│   " if k in follows else "    " for k in range(level))
+        out.append(f"{bars}{'├── ' if level in follows else '└── '}{kind}{label} ({r['start']}-{r['end']})")
+        follows = {k for k in follows if k < level} | {level}
+    return "\n".join(out[::-1])
 
 
 def type_tree(types: Iterable, fields: Iterable) -> str:

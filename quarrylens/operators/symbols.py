@@ -20,10 +20,15 @@ def symbols(functions: DataFrame, classes: DataFrame, types: DataFrame) -> DataF
 
 
 def bodies(functions: DataFrame, lines: DataFrame) -> DataFrame:
-    """(path, name, start, end, body): each function's own lines. Its file's lines are one array, so nothing is joined by range."""
-    per = lines.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda x: x["raw"]).alias("all"))
-    cut = F.slice("all", F.col("start").cast("int"), (F.col("end") - F.col("start") + 1).cast("int"))
-    return functions.join(per, "path").select("path", "name", "start", "end", F.array_join(cut, "\n").alias("body"))
+    """(path, name, start, end, body): each function's own lines. A file's lines and functions meet as two arrays in one row, once."""
+    all_lines = lines.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda x: x["raw"]).alias("all"))
+    spans = functions.groupBy("path").agg(F.collect_list(F.struct("name", "start", "end")).alias("spans"))
+
+    def own(x):
+        cut = F.slice("all", x["start"].cast("int"), (x["end"] - x["start"] + 1).cast("int"))
+        return F.struct(x["name"].alias("name"), x["start"].alias("start"), x["end"].alias("end"), F.array_join(cut, "\n").alias("body"))
+
+    return spans.join(all_lines, "path").select("path", F.inline(F.transform("spans", own)))
 
 
 def methods(functions: DataFrame, classes: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ Files are per customer, part group or supplier, so their number grows with the d
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,6 +117,45 @@ def supplier_files(spark: SparkSession, sf_dir: str, ext: str) -> DataFrame:
     return with_lang(per.select(F.concat(F.lit("s/g"), "g", F.lit(ext)).alias("path"), F.array_join(F.transform("all", lambda x: x["t"]), "").alias("content")))
 
 
+#: Forms of the other languages' files: extension, import, opening and end of a class around the functions, head and
+#: end of a function, a statement's beginning, and a type after the class. {c} is the customer, {o} the order.
+FORMS = {
+    "c": (".c", '#include "lib{m}.h"\n', "", "", "int f{o}(int a)\n{\n", "}\n", "\tx = ", "struct T{c} {\n\tint a;\n};\n"),
+    "cpp": (".cpp", "#include <lib{m}>\n", "class C{c}\n{\n", "};\n", "    int f{o}(int a){q}\n    {\n", "    }\n", "\tx = ", "enum T{c} {\n\tA\n};\n"),
+    "cs": (".cs", "using lib{m};\n", "public class C{c}\n{\n", "}\n", "    public int f{o}(int a)\n    {\n", "    }\n", "\tx = ", "public interface T{c} {\n}\n"),
+    "java": (".java", "import lib{m};\n", "public class C{c} {\n", "}\n", "    public int f{o}(int a){q} {\n", "    }\n", "\tx = ", "abstract class T{c} {\n}\n"),
+    "d": (".d", "import lib{m};\n", "class C{c} {\n", "}\n", "    int f{o}(int a)\n    {\n", "    }\n", "\tx = ", "struct T{c} {\n\tint a;\n}\n"),
+    "kotlin": (".kt", "import lib{m}\n", "class C{c} {\n", "}\n", "    fun f{o}(a: Int) {\n", "    }\n", "\tx = ", "data class T{c} {\n}\n"),
+    "php": (".php", "use lib{m};\n", "class C{c} {\n", "}\n", "    public function f{o}($a) {\n", "    }\n", "\t$x = ", "trait T{c} {\n}\n"),
+    "ruby": (".rb", 'require "lib{m}"\n', "class C{c}\n", "end\n", "  def f{o}(a)\n", "  end\n", "\tx = ", "module T{c}\nend\n"),
+    "scala": (".scala", "import lib{m}\n", "class C{c} {\n", "}\n", "  def f{o}(a: Int) = {\n", "  }\n", "\tx = ", "case class T{c} {\n}\n"),
+}
+#: What follows the parameters of every third function.
+QUALIFIERS = {"cpp": " const", "java": " throws Fault"}
+
+
+def language_files(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
+    """A class per customer with a function per order and a statement per line item, and another type after it, in the form of ``lang``."""
+    ext, use, opened, closed, head, tail, statement, other = FORMS[lang]
+
+    def fill(text: str, **values):
+        parts = re.split(r"\{([a-z])\}", text)
+        return F.concat(*[values[x].cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+    def one(x):
+        qualifier = F.when(x["ok"] % 3 == 0, QUALIFIERS.get(lang, "")).otherwise("")
+        items = F.transform(x["items"], lambda i: F.concat(F.lit(statement), i["l_partkey"], F.lit(";\n")))
+        return F.concat(fill(head, o=x["ok"], q=qualifier), F.array_join(items, ""), F.lit(tail))
+
+    ck = F.col("ck")
+    text = F.concat(fill(use, m=ck % 7), fill(opened, c=ck), F.array_join(F.transform("orders", one), ""), F.lit(closed), fill(other, c=ck))
+    return by_customer(spark, sf_dir).select(_path(ext).alias("path"), text.alias("content"), F.lit(lang).alias("lang"))
+
+
+def all_language_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce(DataFrame.union, [language_files(spark, sf_dir, k) for k in FORMS])
+
+
 def import_files(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
     """A file per nation. Go: imports of the next region's folder, of the library and of a folder that is not there.
     Python: imports of the region's nations, of the library and of an unknown module."""

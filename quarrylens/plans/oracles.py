@@ -95,6 +95,61 @@ TWO = TWO.replace("{0}", _SUM % "docs").replace("{1}", _SUM % "edited")
 TRUTH = f"""{GO},
 pairs as (select path, 'function' as kind, name, 1::bigint as truth, 1::bigint as found, (ok % 4 <= 2)::int::bigint as matched from f)"""
 
+
+def language(lang: str, ext: str, opened: int, head: int, closed: int, kind: str, length: int, qualifier: str = "") -> str:
+    """Places in the files of another language: f functions, k (start, end_) of the class, t those of the type after it.
+
+    A class has ``opened`` lines before its functions and ``closed`` after them, a function ``head`` lines before its statements, the
+    type has ``length`` lines. Every third function is named by its qualifier, if there is one.
+    """
+    return f"""{spans(ext, str(1 + opened), f"{head} + 1 + n_items")},
+named as (select *, case when ok % 3 = 0 and '{qualifier}' <> '' then '{qualifier}' else name end as told from f),
+k as (select path, ck, 2::bigint as start, (1 + {opened + closed} + sum(len))::bigint as end_ from f group by path, ck),
+t as (select path, ck, end_ + 1 as start, end_ + {length} as end_, '{kind}' as kind from k)"""
+
+
+LANGUAGES = {
+    "c": (".c", 0, 2, 0, "struct", 3),
+    "cpp": (".cpp", 2, 2, 1, "enum", 3, "const"),
+    "cs": (".cs", 2, 2, 1, "interface", 2),
+    "java": (".java", 1, 1, 1, "abstract", 2, "throws Fault "),
+    "d": (".d", 1, 2, 1, "struct", 3),
+    "kotlin": (".kt", 1, 1, 1, "data_class", 2),
+    "php": (".php", 1, 1, 1, "trait", 2),
+    "ruby": (".rb", 1, 1, 1, "module", 2),
+    "scala": (".scala", 1, 1, 1, "case_class", 2),
+}
+
+
+def language_symbols(lang: str) -> str:
+    at = f"with {language(lang, *LANGUAGES[lang])}"
+    functions = "select path, 'function' as kind, told as name, start, end_ as \"end\" from named"
+    if lang == "c":  # C types are no classes
+        return f"{at} {functions} union all select path, kind, 'T' || ck, start, end_ from t"
+    if lang == "ruby":  # no braces: functions stay open, and a class ends on the line after its header
+        return f"{at} select path, 'class' as kind, 'C' || ck as name, start, start + 1 as \"end\" from k union all select path, 'class', 'T' || ck, start, start + 1 from t"
+    other = "kind" if lang == "cpp" else "'class'"  # a C++ enum is no class
+    return f"{at} {functions} union all select path, 'class', 'C' || ck, start, end_ from k union all select path, {other}, 'T' || ck, start, end_ from t"
+
+
+def _language_types(lang: str) -> str:
+    own = "" if lang == "c" else f"select path, '{lang}' as lang, 'C' || ck as name, 'class' as kind, start, end_ as \"end\" from k union all "
+    return f"(with {language(lang, *LANGUAGES[lang])} {own}select path, '{lang}' as lang, 'T' || ck as name, kind, start, end_ as \"end\" from t)"
+
+
+def _strict(lang: str) -> str:
+    return f"(with {language(lang, *LANGUAGES[lang])} select path, name, start, end_ as \"end\", 'C' || ck as class_name from f)"
+
+
+def _struct(kind: str, name: str, a: str, b: str, fields: str) -> str:
+    """A type as JSON."""
+    return f"""'{{"name":"' || {name} || '","kind":"{kind}","start":' || {a} || ',"end":' || {b} || '{fields}}}'"""
+
+
+P_JSON = _struct("struct", "'P' || pk", "start", "(start + 5)", ""","fields":[{"name":"Size","type":"int","line":' || (start + 1) || '},{"name":"Name","type":"string","line":' || (start + 3) || '}]""")
+K_JSON = _struct("named", "'K' || pk", "(start + 6)", "(start + 6)", "")
+D_TYPES = f"""{_struct("class", "'C' || ck", "k.start", "k.end_", ',"fields":[]')} || ',' || {_struct("struct", "'T' || ck", "t.start", "t.end_", ',"fields":[]')}"""
+
 ORACLES = {
     "scan_files": f"with {DOCS} select path, case {EXT} when '.go' then 'go' when '.py' then 'py' when '.js' then 'js' when '.h' then 'c' end as lang from docs where {VISIBLE} and {EXT} in ('.go', '.py', '.js', '.h')",
     "scan_by_ext": f"with {DOCS} select {EXT} as ext, count(*) as files from docs where {VISIBLE} group by 1",
@@ -191,4 +246,22 @@ ORACLES = {
     "latency_percentiles": "with v as (select value, row_number() over (order by value) - 1 as k, count(*) over () as n from events where value is not null) select max(n) as n, max(value) filter (k = n * 50 // 100) as p50, max(value) filter (k = n * 99 // 100) as p99, max(value) as most from v",
     "event_lines": f"with {split('events', 'event_id', 'props')} select count(*) as lines, count(*) filter (trim(raw) = '') as blank from kept",
     "conversation_lines": f"with c as (select conv_id || '/' || turn as path, text as content from conversations), {split('c')} select path, count(*) as lines, sum(length(raw))::bigint as chars from kept group by path",
+    **{f"symbols_{k}": language_symbols(k) for k in LANGUAGES},
+    "types_by_language": " union all ".join(map(_language_types, LANGUAGES)),
+    "functions_strict": f"{_strict('java')} union all {_strict('cpp')}",
+    "imports_by_language": " union all ".join(f"(select 'p' || (ck % 25) || '/c' || ck || '{v[0]}' as path, '{k}' as lang, 'lib' || (ck % 7) || '{'.h' if k == 'c' else ''}' as value from (select distinct o_custkey as ck from orders))" for k, v in LANGUAGES.items()),
+    "scan_union": f"with {DOCS} select path, unnest(case {EXT} when '.go' then ['go'] else ['c', 'cpp'] end) as lang from docs where {VISIBLE} and {EXT} in ('.go', '.h')",
+    "text_grep_map": f"with {GO} select path, string_agg(name || ': ' || start || '-' || end_ || ';', ' ' order by start) as text from f group by path",
+    "text_json_map": f"""with {PY} select path, '{{' || string_agg('"' || name || '":{{"start":' || start || ',"end":' || end_ || ',"decorators":["@deco' || (ok % 3) || '"]}}', ',' order by name) || '}}' as text from f group by path""",
+    "text_extract": f"with {GO_LINES}, b as (select f.path, name, start, '// ' || name || ': ' || start || '-' || end_ || chr(10) || string_agg(raw, chr(10) order by line_no) as body from f join golines g on g.path = f.path and line_no between start and end_ group by f.path, name, start, end_) select path, string_agg(body, chr(10) || chr(10) order by start) as text from b group by path",
+    "text_dir_grep": f"with {GO} select path, start, path || ':' || start || ': ' || name as text from f",
+    "text_lines": f"""with {PY}, l as (select path, start as line_no, '@deco' || (ok % 3) as raw from f union all select path, start + 1, 'def f' || ok || '(a):' from f union all select path, start + 2, '    y = 0' from f
+        union all select path, start + 2 + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey), chr(9) || 'x = ' || l_partkey from f join lineitem on l_orderkey = ok union all select path, start + len - 1, '' from f)
+        select path, line_no::bigint as line_no, line_no || ': ' || raw as text, '{{"line":' || line_no || ',"text":"' || replace(raw, chr(9), '\\t') || '"}}' as json from l where line_no between 2 and 5""",
+    "text_call_lines": f"with {EDGES} select path, line, caller || ' → ' || callee as text from edges",
+    "text_struct_map": f"with {TYPES} select path, string_agg(name || ': ' || start || '-' || \"end\" || ';' || case kind when 'struct' then ' fields: Size, Name' else '' end, chr(10) order by start) as text from types group by path",
+    "text_struct_json": f"""with {TYPES} select path, '{{"filename":"' || path || '","types":[' || string_agg({P_JSON} || case when pk % 3 = 0 then ',' || {K_JSON} else '' end, ',' order by start) || ']}}' as text from t group by path""",
+    "text_combined_json": f"""with {language('d', *LANGUAGES['d'])}, j as (select path, string_agg('{{"name":"' || name || '","start":' || start || ',"end":' || end_ || '}}', ',' order by start) as fs from f group by path)
+        select path, '{{"filename":"' || path || '","functions":[' || fs || '],"types":[' || {D_TYPES} || ']}}' as text from j join k using (path) join t using (path, ck)""",
+    "accuracy_repeated": f"with {GO} select path, 'function' as kind, name, 2::bigint as truth, 2::bigint as found, (case when ok % 6 = 0 then 1 else 2 end)::bigint as matched from f",
 }

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import render
 from ..functions import text as T
 from ..operators import accuracy, graph, imports, lines, scopes, search, snapshot, stats, symbols
 from ..operators.parse import parse, relation
@@ -263,6 +265,104 @@ def map_totals(spark, sf):
     return m.agg(F.count("*").alias("total_files"), F.sum(F.size("functions")).alias("total_functions"), F.sum(F.size("classes")).alias("total_classes"))
 
 
+# --- the other languages ----------------------------------------------------------------------------
+
+
+def _language_symbols(lang: str) -> Query:
+    def run(spark, sf):
+        parsed = parse(C.language_files(spark, sf, lang), ("functions", "classes", "types"))
+        return symbols.symbols(*[relation(parsed, w) for w in ("functions", "classes", "types")])
+
+    run.__name__ = f"symbols_{lang}"
+    run.__doc__ = f"Functions, classes and types of {lang} files; functions have the name that the last group of their header gives."
+    return run
+
+
+for _lang in C.FORMS:
+    query(_language_symbols(_lang))
+
+
+@query
+def types_by_language(spark, sf):
+    return relation(parse(C.all_language_files(spark, sf), ("types",)), "types").select("path", "lang", "name", "kind", "start", "end")
+
+
+@query
+def functions_strict(spark, sf):
+    """Java and C++ functions by their bare names, with the class that holds them."""
+    files = C.language_files(spark, sf, "java").union(C.language_files(spark, sf, "cpp"))
+    return _functions(files, strict=True).select("path", "name", "start", "end", "class_name")
+
+
+@query
+def imports_by_language(spark, sf):
+    found = [stats.distinct_matches(lines.lines(C.language_files(spark, sf, k)), k).select("path", F.lit(k).alias("lang"), "value") for k in C.FORMS]
+    return reduce(DataFrame.union, found)
+
+
+@query
+def scan_union(spark, sf):
+    """Scans of one language each, together; a header file counts as C and as C++."""
+    files = C.document_files(spark, sf)
+    return reduce(DataFrame.unionByName, [select_files(files, lang=k).select("path", "lang") for k in ("c", "cpp", "go")]).distinct()
+
+
+# --- text forms -----------------------------------------------------------------------------------
+
+
+@query
+def text_grep_map(spark, sf):
+    return render.grep_map(_functions(C.go_files(spark, sf)))
+
+
+@query
+def text_json_map(spark, sf):
+    return render.json_map(_functions(C.python_files(spark, sf)))
+
+
+@query
+def text_extract(spark, sf):
+    return render.extract(extract_bodies(spark, sf))
+
+
+@query
+def text_dir_grep(spark, sf):
+    return render.dir_grep(_functions(C.go_files(spark, sf)))
+
+
+@query
+def text_lines(spark, sf):
+    """Lines two to five in plain form and as JSON."""
+    own = lines.line_range(lines.lines(C.python_files(spark, sf)), "2:5")
+    return render.plain_lines(own).join(render.json_lines(own).withColumnRenamed("text", "json"), ["path", "line_no"])
+
+
+@query
+def text_call_lines(spark, sf):
+    return render.call_lines(_edges(spark, sf))
+
+
+def _typed(spark, sf):
+    parsed = parse(C.type_files(spark, sf), ("types", "fields", "functions"))
+    return [relation(parsed, w) for w in ("types", "fields", "functions")]
+
+
+@query
+def text_struct_map(spark, sf):
+    return render.struct_map(*_typed(spark, sf)[:2])
+
+
+@query
+def text_struct_json(spark, sf):
+    return render.struct_json(*_typed(spark, sf)[:2])
+
+
+@query
+def text_combined_json(spark, sf):
+    parsed = parse(C.language_files(spark, sf, "d"), ("functions", "types", "fields"))
+    return render.combined_json(*[relation(parsed, w) for w in ("functions", "types", "fields")])
+
+
 # --- calls and graphs ---------------------------------------------------------------------------------
 
 
@@ -530,6 +630,15 @@ def accuracy_score(spark, sf):
     return s.withColumns({c: F.round(c, 6) for c in ("recall", "precision")})
 
 
+@query
+def accuracy_repeated(spark, sf):
+    """Two lines of a name on either side, so that a pairing may take what another line needed."""
+    f = _functions(C.go_files(spark, sf))
+    key = F.substring("name", 2, 20).cast("bigint")
+    of = lambda *at: f.select("path", F.lit("function").alias("kind"), "name", F.explode(F.array(*[F.col("start") + a for a in at])).alias("line"))
+    return accuracy.match_counts(of(0, 2), of(1, key % 6 - 2))
+
+
 @query
 def file_overlap(spark, sf):
     truth, found = _scored(spark, sf)
