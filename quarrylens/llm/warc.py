@@ -23,6 +23,7 @@ from pyarrow import ipc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import attempt_name, cut, file_system, parts_for, work_dir
 
@@ -35,6 +36,8 @@ BROADCAST_DIGESTS = 200_000
 RUN = pa.schema([("urlkey", pa.string()), ("ts", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
 KEY = pa.schema(list(RUN)[:3])
+#: Where a range begins or ends: a key as ``order_key`` has it.
+BOUND = "struct<a:string,b:string,c:boolean,d:bigint>"
 
 
 class LoserTree:
@@ -184,7 +187,7 @@ def run_rows(uri: str, low: tuple | None = None, high: tuple | None = None) -> I
 
 
 def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url: str = "url", html: str = "html", max_bytes: int = 1 << 30, level: int = 2) -> DataFrame:
-    """Writes a record per row below ``folder``; returns one row per run: run, rows, and a few of its keys.
+    """Writes a record per row below ``folder``; returns one row per run: part, run, rows, and a few of its keys.
 
     Of rows with equal payloads (told by SHA-256) the one with the largest id is the response and the others revisit
     it; rows that share the largest id are all responses. Payloads move only if more than
@@ -234,45 +237,73 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url: str
         index.close()
         step = -(-len(index.firsts) // 64)  # at most 64 keys of a run are told
         few = index.firsts[::step]
-        yield pa.RecordBatch.from_pydict({"run": [f"{folder}/run-{part:05d}.idx.arrow"], "rows": pa.array([index.total], pa.int64()), "keys": pa.array([[dict(zip(KEY.names, k, strict=True)) for k in few]], pa.list_(pa.struct(list(KEY))))})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "run": [f"{folder}/run-{part:05d}.idx.arrow"], "rows": pa.array([index.total], pa.int64()), "keys": pa.array([[dict(zip(KEY.names, k, strict=True)) for k in few]], pa.list_(pa.struct(list(KEY))))})
 
-    return cut(told.mapInArrow(run, "run string, rows bigint, keys array<struct<urlkey:string,ts:string,page_id:bigint>>"))
+    return cut(told.mapInArrow(run, "part int, run string, rows bigint, keys array<struct<urlkey:string,ts:string,page_id:bigint>>"))
 
 
 def merge_runs(runs: DataFrame, folder: str, part_rows: int = 500_000, fan_in: int = FAN_IN) -> DataFrame:
-    """Merges the runs to index parts in one global order; returns (part, file, rows)."""
-    spark = runs.sparkSession
-    told = runs.collect()  # a row per run
-    files = sorted(r.run for r in told)
-    keys = sorted(order_key((k.urlkey, k.ts, k.page_id)) for r in told for k in r["keys"])
-    level = 0
-    while len(files) > fan_in:  # groups of runs to longer runs, until one merge can hold a block of each
-        groups = [files[i : i + fan_in] for i in range(0, len(files), fan_in)]
-        jobs = [(i, g, None, None, f"{folder}/level-{level}-{i:05d}.idx.arrow") for i, g in enumerate(groups)]
-        files = sorted(r.file for r in _merged(spark, jobs).collect())
-        level += 1
-    n = parts_for(sum(r.rows for r in told), part_rows)
-    cuts = [keys[len(keys) * i // n] for i in range(1, n)] if keys else []
-    cuts = sorted(set(cuts))
-    bounds = list(zip([None, *cuts], [*cuts, None], strict=True))
-    return _merged(spark, [(i, files, low, high, f"{folder}/index-{i:05d}.arrow") for i, (low, high) in enumerate(bounds) if files])
-
-
-def _merged(spark, jobs: list[tuple]) -> DataFrame:
-    key = "struct<a:string,b:string,c:boolean,d:bigint>"
-    df = spark.createDataFrame(jobs, f"part int, files array<string>, low {key}, high {key}, file string")
+    """Merges the runs to index parts in one global order; returns (part, file, rows).
+
+    Jobs are rows of DataFrames, so the driver holds ``fan_in`` file names at most, however many runs and parts there are.
+    """
+    file_at = lambda name: F.concat(F.lit(f"{folder}/"), F.format_string(name, "part"))
+    n = parts_for(runs.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0], part_rows)
+    files, left, level = runs.select("part", F.col("run").alias("file")), runs.count(), 0
+    while left > fan_in:  # groups of runs to longer runs, until one merge can hold a block of each
+        group = F.floor(F.col("part") / fan_in).cast("int")  # a run per part, so none has more than fan_in
+        n_groups = files.agg(F.max("part")).first()[0] // fan_in + 1
+        jobs = files.groupBy(group.alias("part")).agg(F.array_sort(F.collect_list("file")).alias("files"))
+        jobs = jobs.select("part", "files", F.lit(None).cast(BOUND).alias("low"), F.lit(None).cast(BOUND).alias("high"), file_at(f"level-{level}-%05d.idx.arrow").alias("file"))
+        files = _merged(jobs, min(left, n_groups)).select("part", "file")
+        left, level = files.count(), level + 1
+    names = sorted(r.file for r in files.select("file").collect())  # fan_in at most
+    bounds = _ranges(runs.select(F.explode("keys").alias("k")).select("k.*"), n)
+    jobs = bounds.select("part", F.lit(None).cast("array<string>").alias("files"), "low", "high", file_at("index-%05d.arrow").alias("file"))
+    return _merged(jobs.where(F.lit(bool(names))), n, names)
+
+
+def _ranges(keys: DataFrame, n: int, per_part: int = 100_000) -> DataFrame:
+    """(part, low, high): ``n`` ranges of about as many of ``keys`` each, fewer if there are fewer keys; the outer ends are open."""
+    spark = keys.sparkSession
+    if n > 1:
+        # a missing id comes first, as in the runs
+        bound = F.struct(F.col("urlkey").alias("a"), F.col("ts").alias("b"), F.col("page_id").isNotNull().alias("c"), F.coalesce("page_id", F.lit(0)).alias("d"))
+        keys = keys.select(bound.cast(BOUND).alias("k")).distinct()
+        keys = cut(keys.repartitionByRange(parts_for(keys.count(), per_part), "k").select("k", F.spark_partition_id().alias("p")))
+        sizes = {r.p: r["count"] for r in keys.groupBy("p").count().collect()}  # a row per partition
+        before, total = [], 0
+        for p in sorted(sizes):
+            before.append((p, total))
+            total += sizes[p]
+        n = min(n, total)
+    if n <= 1:
+        return spark.range(1).select(F.lit(0).alias("part"), F.lit(None).cast(BOUND).alias("low"), F.lit(None).cast(BOUND).alias("high"))
+    offset = F.broadcast(spark.createDataFrame(before, "p int, before bigint"))
+    rank = F.row_number().over(Window.partitionBy("p").orderBy("k")) - 1 + F.col("before")
+    # the i-th cut is the first key whose share of the ranks reaches i / n
+    share = lambda r: F.floor(r * n / F.lit(total))
+    cuts = keys.join(offset, "p").select("k", rank.alias("r")).where((F.col("r") > 0) & (share(F.col("r")) > share(F.col("r") - 1)))
+    cuts = cuts.select(share(F.col("r")).cast("int").alias("i"), "k")
+    none = F.lit(None).cast(BOUND)
+    ends = cuts.select(F.col("i").alias("part"), F.col("k").alias("low"), none.alias("high")).union(cuts.select(F.col("i") - 1, none, F.col("k")))
+    return ends.groupBy("part").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+
+
+def _merged(jobs: DataFrame, n: int, names: list[str] | None = None) -> DataFrame:
+    """Does ``n`` jobs (part, files, low, high, file), one a task; ``names`` are the files of all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, files, low, high, file in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 low, high = (tuple(x.values()) if x else None for x in (low, high))
                 out = RunWriter(file)
-                for row in LoserTree((run_rows(f, low, high) for f in files), order_key):
+                for row in LoserTree((run_rows(f, low, high) for f in names or files), order_key):
                     out.add(row)
                 out.close()
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [file], "rows": pa.array([out.total], pa.int64())})
 
-    return cut(df.repartition(max(1, len(jobs)), "part").mapInArrow(run, "part int, file string, rows bigint"))
+    return cut(jobs.repartitionByRange(max(1, n), "part").mapInArrow(run, "part int, file string, rows bigint"))
 
 
 def read_archives(index: DataFrame, block: int = 4096) -> DataFrame:
@@ -314,10 +345,12 @@ def read_archives(index: DataFrame, block: int = 4096) -> DataFrame:
 
     # an index part is read in pieces of a few blocks, so that reading is dealt out more finely than merging
     step = 4
-    pieces = [(r.file, i, i + step) for r in index.collect() for i in range(0, -(-r.rows // BLOCK_ROWS), step)]
-    spark = index.sparkSession
-    df = spark.createDataFrame(pieces, "file string, first int, upto int")
-    return df.repartition(max(1, min(len(pieces), 4096))).mapInArrow(run, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
+    pieces = index.where("rows > 0").select("file", F.explode(F.sequence(F.lit(0), blocks - 1, F.lit(step))).alias("first"))
+    pieces = pieces.select("file", "first", (F.col("first") + step).alias("upto"))
+    n = pieces.count()
+    tasks = max(1, min(n, max(4096, n // 64)))
+    return pieces.repartition(tasks).mapInArrow(run, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 def archive_round_trip(df: DataFrame, folder: str | None = None, **how) -> DataFrame:

@@ -51,6 +51,20 @@ def test_archives(spark, tmp_path):
     assert warc.archive_round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 40])
+def test_ranges(spark, n):
+    """Ranges meet, cover all keys, and hold as many as any other."""
+    rng = random.Random(n)
+    rows = [(f"k{rng.randint(0, 5)}", "2020", rng.choice([None, i])) for i in range(60)]
+    keys = sorted({warc.order_key(r) for r in rows})
+    df = spark.createDataFrame(rows, "urlkey string, ts string, page_id bigint").repartition(4)
+    got = [(tuple(r.low) if r.low else None, tuple(r.high) if r.high else None) for r in warc._ranges(df, n, per_part=8).orderBy("part").collect()]
+    assert got[0][0] is None and got[-1][1] is None and len(got) == min(n, len(keys))
+    assert all(a[1] == b[0] for a, b in zip(got, got[1:]))
+    sizes = [sum((low is None or k >= low) and (high is None or k < high) for k in keys) for low, high in got]
+    assert sum(sizes) == len(keys) and max(sizes) - min(sizes) <= 1
+
+
 def test_damage_is_noticed():
     raw = warc.record(1, "http://a", "20200101000000", b"payload", None, False)
     assert warc.parse(raw)["payload_bytes"] == 7
