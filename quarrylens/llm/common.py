@@ -84,6 +84,24 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
             return label
 
 
+def with_keep(named: DataFrame, hot_members: int = 10_000, most_hot: int = 50_000) -> DataFrame:
+    """(fp, root, keep) of ``named`` (fp, least, root): keep is the least ``least`` of all that have the root.
+
+    Roots with over ``hot_members`` members, and over one in ``most_hot`` of all rows, are not exchanged: there are fewer than
+    ``most_hot`` of them, and what they keep is broadcast. Others are too small to weigh on a task.
+    """
+    named = cut(named)
+    of_root = cut(named.groupBy("root").agg(F.min("least").alias("keep"), F.count("*").alias("n")))
+    is_hot = F.col("n") > max(hot_members, named.count() // most_hot)
+    slim, cold = named.select("fp", "root"), of_root.where(~is_hot).select("root", "keep")
+    hot = of_root.where(is_hot).select("root", F.col("keep").alias("hot"))
+    if not hot.limit(1).count():
+        return slim.join(cold, "root").select("fp", "root", "keep")
+    told = slim.join(F.broadcast(hot), "root", "left")
+    rest = told.where("hot is null").select("fp", "root").join(cold, "root").select("fp", "root", "keep")
+    return told.where("hot is not null").select("fp", "root", F.col("hot").alias("keep")).union(rest)
+
+
 def worker_cache(key: str, make):
     """``make()``, kept for the life of this Python process (workers serve many tasks)."""
     import sys

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, parts_for, scratch, text_of
+from .common import components, cut, parts_for, scratch, text_of, with_keep
 
 FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Bits of the counters are summed over so many hashes at a time, which bounds memory for any text.
@@ -296,8 +296,7 @@ def _classes(df: DataFrame, id_col: str, text: str, width: int, budget: int, lea
     edges = cut(links(small.select("fp"), budget, leaf_rows))
     roots = components(edges)
     named = small.join(roots, small.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = named.groupBy("root").agg(F.min("least").alias("keep"))
-    return ids, named.select("fp", "root").join(of_root, "root").select("fp", "root", "keep")
+    return ids, with_keep(named)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, budget: int = 4, leaf_rows: int = 1024) -> DataFrame:

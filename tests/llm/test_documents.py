@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarrylens.llm import decontaminate, minhash, mixing, pii, secrets, sharding, simhash, toxicity
+from quarrylens.llm import common, decontaminate, minhash, mixing, pii, secrets, sharding, simhash, toxicity
 
 DOCS = "doc_id bigint, text string"
 VOCABULARY = [f"w{i}" for i in range(400)]
@@ -126,6 +126,16 @@ def plain_near_copies(docs, width=5, threshold=0.8):
     return {find(d) for d in sets}
 
 
+@pytest.mark.parametrize("hot, most", [(10_000, 50_000), (3, 50_000), (0, 1), (0, 4)])
+def test_keep_of_hot_roots(spark, hot, most):
+    """What roots keep is the same whether their members are exchanged or not."""
+    rows = [(i, i * 7 % 40, [0, 0, 0, i % 5][i % 4]) for i in range(40)] + [(99, None, 99)]
+    named = spark.createDataFrame(rows, "fp bigint, id bigint, root bigint").selectExpr("fp", "struct(id is null as none, id, fp as th) as least", "root")
+    want = [(fp, root, min((i is None, i or 0) for _, i, r in rows if r == root)) for fp, _, root in rows]
+    got = [(r.fp, r.root, (r.keep.none, r.keep.id or 0)) for r in common.with_keep(named, hot, most).collect()]
+    assert sorted(got) == sorted(want)
+
+
 @pytest.mark.parametrize("leaf_rows", [512, 3])
 def test_near_copies_of_brute_force(spark, leaf_rows):
     import corpus_pipeline as P
