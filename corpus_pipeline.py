@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarrylens.llm.common import work_dir
 from quarrylens.llm.decontaminate import drop_leaks
-from quarrylens.llm.minhash import drop_near_copies
+from quarrylens.llm.near_copies import drop_near_copies
 from quarrylens.llm.mixing import mix
 from quarrylens.llm.sharding import shard_by_bytes
 from quarrylens.llm.toxicity import drop_toxic
@@ -29,7 +29,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose five-word shingles have a Jaccard similarity of 0.8 or more: the one with the smallest doc_id.
 
-    Texts without words are one group; of repeated rows one stays, and a null id only where its group has no other.
+    Candidates come from SimHash tries, and whole sets decide. Texts without words are one group; of repeated rows one stays, and a null id only where its group has no other.
     """
     return drop_near_copies(docs)
 

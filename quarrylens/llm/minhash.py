@@ -1,155 +1,5 @@
-"""Near copies by the Jaccard similarity of their word shingles.
+"""Former name of ``near_copies``."""
 
-Each text is the set of its hashed five-word shingles; two texts are linked when their sets have a
-Jaccard similarity of at least ``threshold``. Candidates come from MinHash: ``BANDS`` keys of ``ROWS``
-minima each, and texts that share a key, directly or through others, make a group. In each group all pairs
-are compared by their whole sets, so no link is false, and a link at similarity 0.8 goes unseen with a
-chance of (1 - 0.8 ** ROWS) ** BANDS, about 5 in a million, higher similarities with less.
-A group with more than ``leaf_rows`` texts is dealt out as pairs of chunks. Links are reduced to spanning
-edges inside each task.
-"""
+from .near_copies import drop_near_copies
 
-from __future__ import annotations
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import components, cut, parts_for, text_of, with_keep
-from .simhash import BROADCAST_KEYS, FOLD, SEED, drop_by_class, spanning
-
-BANDS, ROWS = 40, 6
-#: Minima are taken over so many shingles at a time, which bounds memory for any text.
-SHINGLE_BLOCK = 2048
-_RNG = np.random.default_rng(SEED)
-_TIMES = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
-_PLUS = _RNG.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)[:, None]
-
-
-def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles of one whole text.
-
-    Words are those of the fingerprint; a text with fewer words than ``width`` is one shingle, one
-    without words has none.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = xxhash.xxh64_intdigest
-    n = max(1, len(words) - width + 1)
-    return np.unique(np.fromiter((h(b" ".join(words[i : i + width]), SEED) for i in range(n)), np.uint64, n))
-
-
-def band_keys(shingles: np.ndarray) -> list[int]:
-    """One key for each band; without shingles there are none."""
-    if not len(shingles):
-        return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for s in range(0, len(shingles), SHINGLE_BLOCK):
-        np.minimum(least, (_TIMES * shingles[s : s + SHINGLE_BLOCK] + _PLUS).min(axis=1), out=least)
-    return [_signed(xxhash.xxh64_intdigest(band.tobytes(), k)) for k, band in enumerate(least.reshape(BANDS, ROWS))]
-
-
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
-
-
-def similar(sets: list[np.ndarray], sides: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of positions (i < j) with a Jaccard similarity of at least ``threshold``. ``sides`` 0: pairs
-    inside count; 1 and 2: only pairs between the two sides."""
-    n = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
-    _, at = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(n), size)[np.argsort(at, kind="stable")]
-    first = np.r_[0, np.cumsum(np.bincount(at))]
-    ends = np.cumsum(size)
-    found_i, found_j = [], []
-    for i in range(n - 1):
-        own = at[ends[i] - size[i] : ends[i]]
-        count = first[own + 1] - first[own]
-        places = np.arange(count.sum()) + np.repeat(first[own] - np.cumsum(count) + count, count)
-        both = np.bincount(owner[places], minlength=n)[i + 1 :]
-        j = np.flatnonzero((both > 0) & (both / np.maximum(1, size[i] + size[i + 1 :] - both) >= threshold)) + i + 1
-        j = j[(sides[j] == 0) | (sides[j] != sides[i])]
-        found_i.append(np.full(len(j), i))
-        found_j.append(j)
-    empty = np.empty(0, np.int64)
-    return np.concatenate([empty, *found_i]), np.concatenate([empty, *found_j])
-
-
-def with_bands(df: DataFrame, width: int = 5) -> DataFrame:
-    """(id, th, fp, bands) of (id, th, text), ``fp`` a hash of the shingle set. No shuffle; texts do not come back from Python."""
-
-    def run(batches):
-        for b in batches:
-            sets = [shingle_set(t.as_py(), width) for t in b.column(2)]
-            fps = pa.array([_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps, pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], names=["id", "th", "fp", "bands"])
-
-    return df.mapInArrow(run, f"id {dict(df.dtypes)['id']}, th bigint, fp bigint, bands array<bigint>")
-
-
-def links(src: DataFrame, sets: DataFrame, width: int, threshold: float, leaf_rows: int) -> DataFrame:
-    """Edges (a, b) of distinct shingle sets that connect exactly what similar pairs inside the candidate groups connect.
-
-    ``src`` is (id, th, text); ``sets`` is (fp, least, bands), each shingle set once with the row that stands for it.
-    """
-    keyed = sets.select("fp", F.explode("bands").alias("key"))
-    shared = cut(keyed.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("key", "low"))
-    side = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
-    # a set's keys lead to the least sets of their groups, at most BANDS of them; the least of these stands for all, so that a
-    # dense group has about one edge for each member
-    led = cut(keyed.join(side, "key").groupBy("fp").agg(F.collect_set("low").alias("lows")).select("fp", "lows", F.array_min("lows").alias("b")))
-    near = led.select(F.col("fp").alias("a"), "b").union(led.select(F.explode("lows").alias("a"), "b"))
-    near = cut(near.where("a <> b").distinct())
-    groups = components(near)
-    large = cut(groups.groupBy("root").count().where(F.col("count") > leaf_rows).select("root", F.ceil(F.col("count") / F.lit(leaf_rows)).cast("int").alias("chunks")))
-    members = groups.join(F.broadcast(large) if large.count() <= 50_000 else large, "root", "left")
-    members = members.join(sets.select("fp", "least"), members.node == F.col("fp"))
-    members = cut(members.select("fp", "root", "chunks", F.col("least.id").alias("mid"), F.col("least.th").alias("mth")))
-    known = members.count()
-    rows = src.join(F.broadcast(members) if known <= BROADCAST_KEYS else members, src.id.eqNullSafe(F.col("mid")) & (src.th == F.col("mth")))
-    mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int")
-    # chunk pair (lo, hi): a row goes to every pair that holds its own chunk, as side 0 where both are its own
-    others = F.when(F.col("chunks").isNull(), F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).cast("tinyint").alias("side")))).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.col("chunks") - 1),
-            lambda c: F.struct(
-                F.least(c, mine).alias("lo"), F.greatest(c, mine).alias("hi"),
-                F.when(c == mine, F.lit(0)).when(mine < c, F.lit(1)).otherwise(F.lit(2)).cast("tinyint").alias("side"),
-            ),
-        )
-    )
-    dealt = rows.withColumn("p", F.explode(others)).select("fp", F.xxhash64("root", "p.lo", "p.hi").alias("unit"), "p.side", "text")
-    n_parts = parts_for(known, 4_000, int(src.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-    def run(batches):
-        units: dict[int, dict[int, tuple[int, np.ndarray]]] = {}
-        for b in batches:
-            for fp, unit, at, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                units.setdefault(unit, {}).setdefault(fp, (at, shingle_set(text, width)))
-        for of in units.values():
-            fps = np.fromiter(of, np.int64, len(of))
-            i, j = similar([s for _, s in of.values()], np.array([a for a, _ in of.values()]), threshold)
-            w, r = spanning(i, j, len(fps))
-            if len(w):
-                yield pa.RecordBatch.from_arrays([pa.array(fps[w]), pa.array(fps[r])], names=["a", "b"])
-
-    return dealt.repartition(n_parts, "unit").mapInArrow(run, "a bigint, b bigint")
-
-
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, leaf_rows: int = 512) -> DataFrame:
-    """``df`` with one row of each component of similar texts: the one whose id is the smallest.
-
-    Null, empty and blank texts are equal. Rows that share that id, repeated rows and null ids are treated
-    as ``drop_near_duplicates`` treats them. An empty table gives no rows.
-    """
-    src = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text_of(f"`{text}`")).alias("th"), text_of(f"`{text}`").alias("text"))
-    rows = cut(with_bands(src, width))
-    sets = cut(rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("least"), F.first("bands").alias("bands")))
-    roots = components(cut(links(src, sets, width, threshold, leaf_rows)))
-    named = sets.join(roots, sets.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    classes = with_keep(named)
-    return drop_by_class(df, rows.select("id", "th", "fp"), classes, id_col, text)
+__all__ = ["drop_near_copies"]

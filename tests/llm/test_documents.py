@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarrylens.llm import common, decontaminate, minhash, mixing, pii, secrets, sharding, simhash, toxicity
+from quarrylens.llm import common, decontaminate, minhash, mixing, near_copies, pii, secrets, sharding, simhash, toxicity
 
 DOCS = "doc_id bigint, text string"
 VOCABULARY = [f"w{i}" for i in range(400)]
@@ -163,6 +163,72 @@ def test_near_copies_odd_rows(odd, none):
     assert minhash.drop_near_copies(none).count() == 0
 
 
+def test_near_copies_come_from_the_tries(spark, monkeypatch):
+    """The pipeline's stage has no candidates but those of SimHash and its walk."""
+    import corpus_pipeline as P
+
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text), (2, text + " more"), (3, text)], DOCS)
+    assert {r.doc_id for r in P.near_duplicates(spark, df, "").collect()} == {1}
+    monkeypatch.setattr(near_copies, "candidates", lambda *_: spark.createDataFrame([], "a bigint, b bigint"))
+    assert {r.doc_id for r in P.near_duplicates(spark, df, "").collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("clusters, top", [(300, 0), (3, 0), (300, 5), (1, 0)])
+def test_walk_of_wide_fingerprints(clusters, top):
+    rng = np.random.default_rng(clusters + top)
+    draw = lambda *shape: rng.integers(0, 2**64, shape, dtype=np.uint64)
+    flips = draw(700, 3) & draw(700, 3) & draw(700, 3)
+    words = draw(clusters, 3)[rng.integers(0, clusters, 700)] ^ flips
+    words[:, 0] &= np.uint64((1 << (64 - top)) - 1)
+    n, sides = rng.integers(20, 26, 700), rng.integers(1, 3, 700)
+    label = near_copies.walk(words, n, sides, top, 0.8)
+
+    def grouped(levels):
+        apart = np.bitwise_count(words[:, None] ^ words[None]).sum(axis=2)
+        ok = (apart <= near_copies.CAP) & (sides[:, None] != sides)
+        for d, most in enumerate(levels):
+            ok &= np.bitwise_count((words[:, None, 0] ^ words[None, :, 0]) >> np.uint64(64 - top - d)) <= most if d else True
+        ok &= np.minimum(n[:, None], n) / np.maximum(n[:, None], n) >= 0.8
+        i, j = np.nonzero(np.triu(ok, 1))
+        root = np.arange(700)
+        who, low = simhash.spanning(i, j, 700)
+        root[who] = low
+        return root
+
+    # pairs within all levels are found; below a small node none is dropped, so that others may be
+    strict, loose = grouped(near_copies.LEVELS[: 65 - top]), grouped([])
+    assert (label == label[strict]).all() and (loose == loose[label]).all()
+    assert len(np.unique(strict)) < 650
+
+
+@pytest.mark.parametrize("unit_rows", [8192, 200, 20])
+def test_candidates_of_links_at_the_threshold(spark, unit_rows):
+    """Sets at a similarity of exactly 0.8 meet in a trie, the smallest too, in whole units and in chunks."""
+    rng = np.random.default_rng(unit_rows)
+    rows, pairs = [], []
+    dense = rng.integers(0, 2**64, 40, dtype=np.uint64)
+    for both, x, y in [(4, 0, 1), (8, 1, 1), (12, 0, 3), (20, 2, 3), (40, 5, 5), (400, 50, 50), (400, 0, 100)] * 60 + [(40, 5, 5)] * 400:
+        shared = rng.integers(0, 2**64, both, dtype=np.uint64) if len(pairs) < 420 else dense
+        for extra in (x, y):
+            s = np.unique(np.r_[shared, rng.integers(0, 2**64, extra, dtype=np.uint64)])
+            rows.append((len(rows), len(s), near_copies.fingerprint(s).tobytes()))
+        pairs.append((len(rows) - 2, len(rows) - 1))
+    edges = near_copies.candidates(spark.createDataFrame(rows, "fp bigint, n bigint, bits binary"), 0.8, unit_rows).collect()
+    who, low = simhash.spanning(np.array([e.a for e in edges]), np.array([e.b for e in edges]), len(rows))
+    root = np.arange(len(rows))
+    root[who] = low
+    assert all(root[i] == root[j] for i, j in pairs)
+    assert len(np.unique(root)) == 421
+
+
+def test_sizes_that_may_link():
+    n = np.arange(1, 60)
+    got = near_copies.may_link(n[:, None], n[None], 0.8)
+    want = [[any(c / (a + b - c) >= 0.8 for c in range(1, min(a, b) + (a != b))) for b in n.tolist()] for a in n.tolist()]
+    assert (got == np.array(want)).all()
+
+
 # --- op1 -------------------------------------------------------------------------------------------
 
 
