@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from re import _parser
 from typing import Any
 
 import regex
@@ -205,6 +206,47 @@ def compiled(pattern: str):
     return regex.compile(pattern.replace("{IDENT}", IDENT), regex.ASCII) if pattern else None
 
 
+_NEEDS: dict[str, tuple[str, ...]] = {}
+
+
+def needs(pattern: str) -> tuple[str, ...]:
+    """Literals of which any match of ``pattern`` holds one; none if that is not known. To look for them is much cheaper."""
+    if pattern not in _NEEDS:
+        _NEEDS[pattern] = _needs(pattern)
+    return _NEEDS[pattern]
+
+
+def _needs(pattern: str) -> tuple[str, ...]:
+    try:
+        tree = _parser.parse(pattern.replace("{IDENT}", r"\w"))
+    except Exception:  # a form that only the other library reads: every line is tried
+        return ()
+    words = None if tree.state.flags & _parser.SRE_FLAG_IGNORECASE else _literals(tree)
+    return tuple(sorted(words or ()))
+
+
+def _literals(tree) -> frozenset[str] | None:
+    """Strings of which every match of a parsed pattern holds at least one; None if there are none. The longest are taken."""
+    found, run = [], ""
+    for op, arg in [*tree, (None, None)]:
+        if op is _parser.LITERAL:
+            run += chr(arg)
+            continue
+        if run:
+            found.append(frozenset([run]))
+            run = ""
+        if op is _parser.SUBPATTERN:
+            found.append(None if arg[1] & _parser.SRE_FLAG_IGNORECASE else _literals(arg[3]))
+        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT, _parser.POSSESSIVE_REPEAT) and arg[0] > 0:
+            found.append(_literals(arg[2]))
+        elif op is _parser.BRANCH:
+            of = [_literals(x) for x in arg[1]]
+            found.append(None if None in of else frozenset().union(*of))
+        elif op is _parser.IN and all(kind is _parser.LITERAL for kind, _ in arg):
+            found.append(frozenset(chr(c) for _, c in arg))
+    return max((x for x in found if x), key=lambda x: min(map(len, x)), default=None)
+
+
 def supported() -> list[str]:
     """Sorted language keys."""
     return sorted(PROFILES)
