@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,21 +12,32 @@ from ..functions.text import tokens
 def match_counts(truth: DataFrame, found: DataFrame, tolerance: int = 2) -> DataFrame:
     """(path, kind, name, truth, found, matched): greedy nearest pairing within ``tolerance`` lines, each used once.
 
-    Groups are the symbols of one name in one file. Where either side has one line, the pairing is native; only
-    groups with several on both sides go through the greedy rule.
+    Groups are the symbols of one name in one file; only groups with several lines on both sides go through the greedy rule.
     """
-    keys = ["path", "kind", "name"]
-    side = lambda d, c: d.groupBy(*keys).agg(F.array_sort(F.collect_list("line")).alias(c))
-    both = side(truth, "t").join(side(found, "f"), keys, "full_outer").withColumns({c: F.coalesce(c, F.array().cast("array<bigint>")) for c in ("t", "f")})
+    side = lambda d, truth: d.select("path", "kind", "name", F.lit(truth).alias("is_truth"), "line")
+    return match_sides(side(truth, True).union(side(found, False)), tolerance)
+
+
+def match_sides(sides: DataFrame, tolerance: int = 2) -> DataFrame:
+    """``match_counts`` of one table (path, kind, name, is_truth, line) that holds both sides: one exchange."""
+    of = lambda truth, c: F.array_sort(F.collect_list(F.when(F.col("is_truth") == truth, F.col("line")))).alias(c)
+    both = sides.groupBy("path", "kind", "name").agg(of(True, "t"), of(False, "f"))
     near = F.exists("t", lambda a: F.exists("f", lambda b: F.abs(a - b) <= tolerance)).cast("bigint")
-    plain = both.where((F.size("t") <= 1) | (F.size("f") <= 1)).select(*keys, F.size("t").cast("bigint").alias("truth"), F.size("f").cast("bigint").alias("found"), near.alias("matched"))
+    matched = F.when((F.size("t") <= 1) | (F.size("f") <= 1), near).otherwise(_paired(F.col("t"), F.col("f"), tolerance))
+    return both.select("path", "kind", "name", F.size("t").cast("bigint").alias("truth"), F.size("f").cast("bigint").alias("found"), matched.alias("matched"))
+
+
+def _paired(truth: Column, found: Column, tolerance: int) -> Column:
+    """``paired`` of two sorted arrays as an expression."""
 
-    @F.pandas_udf("bigint")
-    def pair(t: pd.Series, f: pd.Series) -> pd.Series:
-        return pd.Series([paired(list(a), list(b), tolerance) for a, b in zip(t, f, strict=True)], dtype="int64")
+    def step(state: Column, line: Column) -> Column:
+        left = state["left"]
+        best = F.array_min(F.transform(left, lambda x, i: F.struct(F.abs(x - line).alias("off"), x.alias("x"), i.alias("i"))))
+        rest = F.concat(F.slice(left, F.lit(1), best["i"]), F.slice(left, best["i"] + 2, F.size(left)))
+        hit = best["off"] <= tolerance
+        return F.when(hit, F.struct(rest.alias("left"), (state["n"] + 1).alias("n"))).otherwise(state)
 
-    several = both.where((F.size("t") > 1) & (F.size("f") > 1)).select(*keys, F.size("t").cast("bigint").alias("truth"), F.size("f").cast("bigint").alias("found"), pair("t", "f").alias("matched"))
-    return plain.union(several)
+    return F.aggregate(truth, F.struct(found.alias("left"), F.lit(0).cast("bigint").alias("n")), step, lambda s: s["n"])
 
 
 def paired(truth: list[int], found: list[int], tolerance: int) -> int:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .parse import parse
+
 
 def outermost(functions: DataFrame) -> DataFrame:
     """Functions that no other of their file holds: those that start after every earlier one has ended."""
@@ -47,6 +51,50 @@ def call_edges(calls: DataFrame, functions: DataFrame, aliases: DataFrame | None
     return bare.union(qualified).where("caller <> callee").groupBy("path", "caller", "callee").agg(F.min("line").alias("line"))
 
 
+def file_marks(files: DataFrame, aliases: DataFrame | None = None, scope: str = "dir", keep: Callable[[Column], Column] | None = None, **how) -> DataFrame:
+    """(path, caller, callee, line): functions (``caller`` null) and the calls of ``call_edges``, from one reading of (path, content, lang).
+
+    A path is one file, which makes its calls distinct while it is read. What is left to ask of other files is whether bare calls
+    without a function in their own file have one elsewhere: they meet the functions of that name in one exchange, in which all
+    other rows go by their file. ``keep`` (of the callee) leaves out calls and functions before that; a name's rows stay or go together.
+    """
+    parsed = parse(files, ("edges",), **how)
+    if aliases is None:
+        e = parsed.select("path", F.explode("edges").alias("x")).select("path", "x.*")
+    else:
+        of = aliases.groupBy("path").agg(F.collect_list(F.struct("alias", "target")).alias("of"))
+        e = parsed.join(of, "path", "left").select("path", "of", F.explode("edges").alias("x")).select("path", "of", "x.*")
+        named = F.filter("of", lambda a: (a["alias"] == F.col("receiver")) & (F.col("receiver") != ""))
+        stands = F.when(F.size(named) > 0, F.transform(named, lambda a: F.coalesce(a["target"], F.col("receiver")))).otherwise(F.array("receiver"))
+        e = e.select("path", "caller", F.explode(stands).alias("receiver"), "callee", "line", "own")
+    bare = F.col("receiver") == ""
+    e = e.select("path", "caller", F.when(bare, F.col("callee")).otherwise(F.concat("receiver", F.lit("."), "callee")).alias("callee"), "line", bare.alias("bare"), (F.col("own") & bare).alias("own"))
+    e = e.where("caller is null or caller <> callee")
+    if keep is not None:
+        e = e.where(keep(F.col("callee")))
+    if aliases is not None:  # two receivers may stand for one target; the rows lie by path, so this is no exchange
+        e = e.groupBy("path", "caller", "callee", "bare", "own").agg(F.min("line").alias("line"))
+    if scope == "file":
+        e = e.where("caller is null or own or not bare")
+    else:
+        asked = F.expr("caller is null or bare and not own")
+        place = F.when(asked, F.col("callee")).otherwise(F.col("path"))
+        known = F.max(F.expr("caller is null")).over(Window.partitionBy("place"))
+        e = e.withColumn("place", place).withColumn("known", known).where("known or own or not bare")
+    return e.select("path", "caller", "callee", "line")
+
+
+def file_edges(files: DataFrame, aliases: DataFrame | None = None, scope: str = "dir", keep: Callable[[Column], Column] | None = None, **how) -> DataFrame:
+    """``call_edges`` of (path, content, lang), each file read once."""
+    return file_marks(files, aliases, scope, keep, **how).where("caller is not null")
+
+
+def totals(marks: DataFrame) -> DataFrame:
+    """(functions, calls, files) of ``file_marks``: distinct names, calls, and files that have any."""
+    call = F.col("caller").isNotNull()
+    return marks.agg(F.count_distinct(F.when(~call, F.col("callee"))).alias("functions"), F.count_if(call).alias("calls"), F.count_distinct(F.when(call, F.col("path"))).alias("files"))
+
+
 def reverse(edges: DataFrame) -> DataFrame:
     """(callee, callers): distinct callers, sorted."""
     return edges.select("caller", "callee").distinct().groupBy("callee").agg(F.array_sort(F.collect_list("caller")).alias("callers"))
@@ -56,38 +104,56 @@ def callers_of(edges: DataFrame, name: str) -> DataFrame:
     return edges.where(F.col("callee") == name).select("caller").distinct()
 
 
+def steps(edges: DataFrame) -> DataFrame:
+    """Distinct (caller, callee), computed once, kept in the shared folder and laid out by caller: what ``walk`` goes over."""
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(edges.select("caller", "callee").repartition(n, "caller").distinct().sortWithinPartitions("caller"))
+
+
+def roots(edges: DataFrame) -> DataFrame:
+    """(node): callers that nothing calls."""
+    return edges.select(F.col("caller").alias("node")).distinct().join(edges.select(F.col("callee").alias("node")), "node", "left_anti")
+
+
+#: Up to so many rows of a frontier are broadcast.
+FEW = 100_000
+
+
 def reachable(edges: DataFrame, roots: DataFrame, depth: int = 0, checkpoint_every: int = 4) -> DataFrame:
-    """(node, hops) of all that ``roots`` (node) reach, by shortest distance; ``depth`` 0 has no bound.
+    """(node, hops) of all that ``roots`` (node) reach, by shortest distance; ``depth`` 0 has no bound."""
+    return walk(steps(edges), roots, depth, checkpoint_every)
+
+
+def walk(edges: DataFrame, roots: DataFrame, depth: int = 0, checkpoint_every: int = 4) -> DataFrame:
+    """``reachable`` over what ``steps`` gave.
 
     A frontier at a time: its out-edges, less what has been reached. Every ``checkpoint_every`` rounds the
     plan is cut in the shared folder, so it does not grow with the distance.
     """
-    step = edges.select(F.col("caller").alias("node"), F.col("callee").alias("next")).distinct()
-    step = cut(step)
-    seen = roots.select("node", F.lit(0).cast("bigint").alias("hops")).distinct()
+    seen = cut(roots.select("node", F.lit(0).cast("bigint").alias("hops")).distinct())
     frontier, hop = seen, 0
     while not depth or hop < depth:
-        hop += 1
-        new = frontier.join(step, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(hop).cast("bigint"))
-        new = cut(new)
-        if new.isEmpty():
+        rows = frontier.count()
+        if not rows:
             break
-        seen = seen.union(new)
+        hop += 1
+        at = frontier.select(F.col("node").alias("caller"))
+        new = edges.join(F.broadcast(at) if rows <= FEW else at, "caller", "left_semi").select(F.col("callee").alias("node")).distinct()
+        met = seen
+        if rows <= FEW:  # most often few are new, too: then what is seen is only passed over
+            new = cut(new)
+            if new.count() <= FEW:
+                met = seen.join(F.broadcast(new), "node", "left_semi")
+        frontier = cut(new.join(met, "node", "left_anti").withColumn("hops", F.lit(hop).cast("bigint")))
+        seen = seen.union(frontier)
         if hop % checkpoint_every == 0:
             seen = cut(seen)
-        frontier = new
     return seen
 
 
 def reachable_within(edges: DataFrame, root: str, depth: int) -> DataFrame:
-    """(node, hops) within a small number of hops, as one recursive query."""
-    edges.createOrReplaceTempView("quarrylens_edges")
-    return edges.sparkSession.sql(
-        "with recursive r(node, hops) as (select cast(:root as string), 0L union all "
-        "select e.callee, r.hops + 1 from r join quarrylens_edges e on e.caller = r.node where r.hops < :depth) "
-        "select node, min(hops) as hops from r group by node",
-        args={"root": root, "depth": depth},
-    )
+    """(node, hops) within a number of hops of one function. The edges are computed once, not in every round."""
+    return reachable(edges, edges.sparkSession.createDataFrame([(root,)], "node string"), depth)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -19,6 +19,11 @@ def symbols(functions: DataFrame, classes: DataFrame, types: DataFrame) -> DataF
     return f.union(c).union(t)
 
 
+def file_symbols(files: DataFrame, **how) -> DataFrame:
+    """``symbols`` of (path, content, lang), each file read once and nothing exchanged."""
+    return relation(parse(files, ("symbols",), **how), "symbols").select("path", "kind", "name", "start", "end")
+
+
 def bodies(functions: DataFrame, lines: DataFrame) -> DataFrame:
     """(path, name, start, end, body): each function's own lines. A file's lines and functions meet as two arrays in one row, once."""
     all_lines = lines.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda x: x["raw"]).alias("all"))

@@ -6,7 +6,6 @@ Files are per customer, part group or supplier, so their number grows with the d
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,8 +133,8 @@ FORMS = {
 QUALIFIERS = {"cpp": " const", "java": " throws Fault"}
 
 
-def language_files(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
-    """A class per customer with a function per order and a statement per line item, and another type after it, in the form of ``lang``."""
+def _language_file(lang: str):
+    """(path, content, lang) of a customer's file: a class with a function per order and a statement per line item, and another type after it."""
     ext, use, opened, closed, head, tail, statement, other = FORMS[lang]
 
     def fill(text: str, **values):
@@ -149,11 +148,17 @@ def language_files(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
 
     ck = F.col("ck")
     text = F.concat(fill(use, m=ck % 7), fill(opened, c=ck), F.array_join(F.transform("orders", one), ""), F.lit(closed), fill(other, c=ck))
-    return by_customer(spark, sf_dir).select(_path(ext).alias("path"), text.alias("content"), F.lit(lang).alias("lang"))
+    return F.struct(_path(ext).alias("path"), text.alias("content"), F.lit(lang).alias("lang"))
+
+
+def language_files(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
+    """A file per customer in the form of ``lang``."""
+    return by_customer(spark, sf_dir).select(_language_file(lang).alias("x")).select("x.*")
 
 
 def all_language_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reduce(DataFrame.union, [language_files(spark, sf_dir, k) for k in FORMS])
+    """Those of all forms, from one pass over the customers."""
+    return by_customer(spark, sf_dir).select(F.inline(F.array(*[_language_file(k) for k in FORMS])))
 
 
 def import_files(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:

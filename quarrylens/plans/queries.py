@@ -213,8 +213,7 @@ def ts_types(spark, sf):
 @query
 def symbols_all(spark, sf):
     """Functions, classes, and types that are not among the classes."""
-    parsed = parse(C.type_files(spark, sf), ("functions", "classes", "types"))
-    return symbols.symbols(*[relation(parsed, w) for w in ("functions", "classes", "types")])
+    return symbols.file_symbols(C.type_files(spark, sf))
 
 
 @query
@@ -270,8 +269,7 @@ def map_totals(spark, sf):
 
 def _language_symbols(lang: str) -> Query:
     def run(spark, sf):
-        parsed = parse(C.language_files(spark, sf, lang), ("functions", "classes", "types"))
-        return symbols.symbols(*[relation(parsed, w) for w in ("functions", "classes", "types")])
+        return symbols.file_symbols(C.language_files(spark, sf, lang))
 
     run.__name__ = f"symbols_{lang}"
     run.__doc__ = f"Functions, classes and types of {lang} files; functions have the name that the last group of their header gives."
@@ -367,20 +365,18 @@ def text_combined_json(spark, sf):
 
 
 def _calls(spark, sf):
-    from ..languages import PROFILES
-
-    clean = relation(parse(C.call_files(spark, sf), ("clean_lines",)), "clean_lines")
-    return stats.call_names(clean, "clean", exclude=tuple(PROFILES["go"].exclude))
+    """(path, name, count)"""
+    return relation(parse(C.call_files(spark, sf), ("call_names",)), "call_names").select("path", "name", "count")
 
 
 @query
 def call_freq(spark, sf):
-    return stats.call_counts(_calls(spark, sf))
+    return _calls(spark, sf)
 
 
 @query
 def call_freq_dir(spark, sf):
-    return stats.call_counts(_calls(spark, sf), None)
+    return _calls(spark, sf).groupBy("name").agg(F.sum("count").alias("count"))
 
 
 @query
@@ -404,9 +400,8 @@ def _js():
     return PROFILES["js"].exclude
 
 
-def _edges(spark, sf, scope="dir"):
-    f, c = _go(spark, sf, "functions", "calls")
-    return graph.call_edges(c, f, scope=scope)
+def _edges(spark, sf, scope="dir", keep=None):
+    return graph.file_edges(C.go_files(spark, sf), scope=scope, keep=keep)
 
 
 @query
@@ -422,9 +417,8 @@ def call_edges_dir(spark, sf):
 @query
 def call_edges_aliased(spark, sf):
     """Receivers by the packages they stand for."""
-    f, c = _go(spark, sf, "functions", "calls")
     names = C.go_files(spark, sf).select("path", F.explode(F.array(F.lit("lib1"), F.lit("lib2"))).alias("alias")).withColumn("target", F.concat(F.lit("pkg/"), "alias"))
-    return graph.call_edges(c, f, names).where(F.col("callee").startswith("pkg/"))
+    return graph.file_edges(C.go_files(spark, sf), names, keep=lambda callee: callee.startswith("pkg/"))
 
 
 @query
@@ -434,34 +428,35 @@ def reverse_graph(spark, sf):
 
 @query
 def callers_of(spark, sf):
-    return graph.callers_of(_edges(spark, sf), "lib1.g1")
+    return graph.callers_of(_edges(spark, sf, keep=lambda callee: callee == "lib1.g1"), "lib1.g1")
 
 
 @query
 def graph_totals(spark, sf):
-    f, c = _go(spark, sf, "functions", "calls")
-    e = graph.call_edges(c, f)
-    return f.agg(F.count_distinct("name").alias("functions")).crossJoin(e.agg(F.count("*").alias("calls"), F.count_distinct("path").alias("files")))  # one row each
+    return graph.totals(graph.file_marks(C.go_files(spark, sf)))
+
+
+def _bare(spark, sf):
+    """The edges without those to receivers."""
+    return _edges(spark, sf, keep=lambda callee: ~callee.contains("."))
 
 
 @query
 def reachable_n(spark, sf):
     """All that functions without callers reach in two hops."""
-    e = graph.cut(_edges(spark, sf).where(~F.col("callee").contains(".")))
-    roots = e.select(F.col("caller").alias("node")).distinct().join(e.select(F.col("callee").alias("node")), "node", "left_anti")
-    return graph.reachable(e, roots, 2)
+    e = graph.steps(_bare(spark, sf))
+    return graph.walk(e, graph.roots(e), 2)
 
 
 @query
 def reachable_all(spark, sf):
-    e = graph.cut(_edges(spark, sf).where(~F.col("callee").contains(".")))
-    roots = e.select(F.col("caller").alias("node")).distinct().join(e.select(F.col("callee").alias("node")), "node", "left_anti")
-    return graph.reachable(e, roots)
+    e = graph.steps(_bare(spark, sf))
+    return graph.walk(e, graph.roots(e))
 
 
 @query
 def reachable_within(spark, sf):
-    """What one function reaches in five hops, by a recursive query."""
+    """What one function reaches in five hops."""
     return graph.reachable_within(_edges(spark, sf), "f1", 5)
 
 
@@ -605,13 +600,21 @@ def manifest_depends(spark, sf):
 @query
 def reachable_edges(spark, sf):
     """The calls of what one function reaches in five hops."""
-    e = _edges(spark, sf)
-    return graph.edges_of(e, graph.reachable(e, spark.createDataFrame([("f1",)], "node string"), 5))
+    e = graph.steps(_edges(spark, sf))
+    return graph.edges_of(e, graph.walk(e, spark.createDataFrame([("f1",)], "node string"), 5))
 
 
 # --- accuracy, tokens, search ------------------------------------------------------------------------
 
 
+def _sides(spark, sf):
+    """Truth and found as rows of one table, from one reading."""
+    f = _functions(C.go_files(spark, sf))
+    shift = F.substring("name", 2, 20).cast("bigint") % 4
+    both = F.array(F.struct(F.lit(True).alias("is_truth"), F.col("start").alias("line")), F.struct(F.lit(False).alias("is_truth"), (F.col("start") + shift).alias("line")))
+    return f.select("path", F.lit("function").alias("kind"), "name", F.inline(both))
+
+
 def _scored(spark, sf):
     truth = _functions(C.go_files(spark, sf)).select("path", F.lit("function").alias("kind"), "name", F.col("start").alias("line"))
     key = F.substring("name", 2, 20).cast("bigint")
@@ -621,12 +624,12 @@ def _scored(spark, sf):
 
 @query
 def accuracy_counts(spark, sf):
-    return accuracy.match_counts(*_scored(spark, sf))
+    return accuracy.match_sides(_sides(spark, sf))
 
 
 @query
 def accuracy_score(spark, sf):
-    s = accuracy.score(accuracy.match_counts(*_scored(spark, sf)))
+    s = accuracy.score(accuracy.match_sides(_sides(spark, sf)))
     return s.withColumns({c: F.round(c, 6) for c in ("recall", "precision")})
 
 
@@ -635,8 +638,9 @@ def accuracy_repeated(spark, sf):
     """Two lines of a name on either side, so that a pairing may take what another line needed."""
     f = _functions(C.go_files(spark, sf))
     key = F.substring("name", 2, 20).cast("bigint")
-    of = lambda *at: f.select("path", F.lit("function").alias("kind"), "name", F.explode(F.array(*[F.col("start") + a for a in at])).alias("line"))
-    return accuracy.match_counts(of(0, 2), of(1, key % 6 - 2))
+    row = lambda truth, a: F.struct(F.lit(truth).alias("is_truth"), (F.col("start") + a).alias("line"))
+    lines_ = F.array(row(True, 0), row(True, 2), row(False, 1), row(False, key % 6 - 2))
+    return accuracy.match_sides(f.select("path", F.lit("function").alias("kind"), "name", F.inline(lines_)))
 
 
 @query
