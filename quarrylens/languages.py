@@ -201,9 +201,16 @@ PROFILES = {
 }
 
 
+_COMPILED: dict[str, regex.Pattern] = {}
+
+
 def compiled(pattern: str):
-    """A pattern with {IDENT} expanded; classes other than \\p are ASCII. The library keeps compiled patterns."""
-    return regex.compile(pattern.replace("{IDENT}", IDENT), regex.ASCII) if pattern else None
+    """A pattern with {IDENT} expanded; classes other than \\p are ASCII. Compiled once; the library's own lookup is slow."""
+    if not pattern:
+        return None
+    if pattern not in _COMPILED:
+        _COMPILED[pattern] = regex.compile(pattern.replace("{IDENT}", IDENT), regex.ASCII)
+    return _COMPILED[pattern]
 
 
 _NEEDS: dict[str, tuple[str, ...]] = {}

@@ -143,22 +143,35 @@ def _language_file(lang: str):
 
     def one(x):
         qualifier = F.when(x["ok"] % 3 == 0, QUALIFIERS.get(lang, "")).otherwise("")
-        items = F.transform(x["items"], lambda i: F.concat(F.lit(statement), i["l_partkey"], F.lit(";\n")))
-        return F.concat(fill(head, o=x["ok"], q=qualifier), F.array_join(items, ""), F.lit(tail))
+        return F.concat(fill(head, o=x["ok"], q=qualifier), x[_body(statement)], F.lit(tail))
 
     ck = F.col("ck")
     text = F.concat(fill(use, m=ck % 7), fill(opened, c=ck), F.array_join(F.transform("orders", one), ""), F.lit(closed), fill(other, c=ck))
     return F.struct(_path(ext).alias("path"), text.alias("content"), F.lit(lang).alias("lang"))
 
 
+def _body(statement: str) -> str:
+    return "body" + "".join(re.findall(r"\w|\$", statement))
+
+
+def _bodies(spark: SparkSession, sf_dir: str, langs) -> DataFrame:
+    """(ck, orders): orders (ok, a text of their statements in each form of ``langs``), which languages share."""
+
+    def text(x, statement):
+        return F.array_join(F.transform(x["items"], lambda i: F.concat(F.lit(statement), i["l_partkey"], F.lit(";\n"))), "").alias(_body(statement))
+
+    forms = sorted({FORMS[k][6] for k in langs})
+    return by_customer(spark, sf_dir).select("ck", F.transform("orders", lambda x: F.struct(x["ok"].alias("ok"), *[text(x, s) for s in forms])).alias("orders"))
+
+
 def language_files(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
     """A file per customer in the form of ``lang``."""
-    return by_customer(spark, sf_dir).select(_language_file(lang).alias("x")).select("x.*")
+    return _bodies(spark, sf_dir, [lang]).select(_language_file(lang).alias("x")).select("x.*")
 
 
 def all_language_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Those of all forms, from one pass over the customers."""
-    return by_customer(spark, sf_dir).select(F.inline(F.array(*[_language_file(k) for k in FORMS])))
+    return _bodies(spark, sf_dir, FORMS).select(F.inline(F.array(*[_language_file(k) for k in FORMS])))
 
 
 def import_files(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
