@@ -117,6 +117,8 @@ def roots(edges: DataFrame) -> DataFrame:
 
 #: Up to so many rows of a frontier are broadcast.
 FEW = 100_000
+#: From so many rows on, what is seen is not exchanged for few new ones.
+MANY = 2_000_000
 
 
 def reachable(edges: DataFrame, roots: DataFrame, depth: int = 0, checkpoint_every: int = 4) -> DataFrame:
@@ -131,16 +133,17 @@ def walk(edges: DataFrame, roots: DataFrame, depth: int = 0, checkpoint_every: i
     plan is cut in the shared folder, so it does not grow with the distance.
     """
     seen = cut(roots.select("node", F.lit(0).cast("bigint").alias("hops")).distinct())
-    frontier, hop = seen, 0
+    frontier, hop, total = seen, 0, 0
     while not depth or hop < depth:
         rows = frontier.count()
         if not rows:
             break
+        total += rows
         hop += 1
         at = frontier.select(F.col("node").alias("caller"))
         new = edges.join(F.broadcast(at) if rows <= FEW else at, "caller", "left_semi").select(F.col("callee").alias("node")).distinct()
         met = seen
-        if rows <= FEW:  # most often few are new, too: then what is seen is only passed over
+        if rows <= FEW and total >= MANY:  # most often few are new, too: then what is seen is only passed over
             new = cut(new)
             if new.count() <= FEW:
                 met = seen.join(F.broadcast(new), "node", "left_semi")

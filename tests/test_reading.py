@@ -79,9 +79,10 @@ def test_many_ways_are_walked_once(spark):
     assert got == {"x0": 0} | {f"{a}{i}": i for i in range(1, 26) for a in "xy"}
 
 
-@pytest.mark.parametrize("few", [0, 100_000])
-def test_walk_by_exchange_and_by_broadcast(spark, monkeypatch, few):
+@pytest.mark.parametrize(("few", "many"), [(0, 0), (100_000, 0), (100_000, 2_000_000)])
+def test_walk_by_exchange_and_by_broadcast(spark, monkeypatch, few, many):
     monkeypatch.setattr(graph, "FEW", few)
+    monkeypatch.setattr(graph, "MANY", many)
     rng = random.Random(1)
     pairs = {(rng.randrange(60), rng.randrange(60)) for _ in range(90)}
     want, now, hop = {0: 0, 7: 0}, {0, 7}, 0
